@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 #: Production shards: 64 of equal weight.
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op2_lookup_table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"], SHARDS)
 
@@ -26,7 +30,7 @@ def op4_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_lookup_table_sharding, op4_curriculum_mixing)
+    for f in (op1_robust_quality, op2_lookup_table_sharding, op4_curriculum_mixing)
 }
 
 ORACLES: dict[str, str] = {"op4_curriculum_mixing": mixing.ORACLE_SQL}
