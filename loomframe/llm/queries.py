@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, substrings
 
 #: Production shards: 64 of equal weight.
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
@@ -28,9 +28,13 @@ def op4_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_robust_quality, op2_lookup_table_sharding, op4_curriculum_mixing)
+    for f in (op1_robust_quality, op2_lookup_table_sharding, op4_curriculum_mixing, op8_difference_cover_dedup)
 }
 
 ORACLES: dict[str, str] = {"op4_curriculum_mixing": mixing.ORACLE_SQL}
