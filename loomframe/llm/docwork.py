@@ -6,19 +6,20 @@ another text stay apart, and rows that repeat both are one document with one dec
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import lists, runs
+from .exchange import blob_rows, bucket_of, deal, lists, received, runs
+from .textops import mix
 
 NULL_ID = -(1 << 63)
 
-FOUND_DDL = "k_doc long, k_sub long, kind int, bucket int, first array<int>, n array<int>"
-FOUND = pa.schema([("k_doc", pa.int64()), ("k_sub", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("first", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+FOUND_DDL = "k_doc long, k_sub long, kind int, first array<int>, n array<int>, bucket array<int>"
+FOUND = pa.schema([("k_doc", pa.int64()), ("k_sub", pa.int64()), ("kind", pa.int32()), ("first", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("bucket", pa.list_(pa.int32()))])
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,14 +32,30 @@ def doc_id() -> F.Column:
     return F.when(F.col("k_doc") != NULL_ID, F.col("k_doc")).alias("doc_id")
 
 
-def found_rows(doc: np.ndarray, sub: np.ndarray, kind: int, bucket: int, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """One row a document with its spans."""
-    order = np.lexsort((first, sub, doc))
-    doc, sub, first, n = doc[order], sub[order], first[order], n[order]
-    at = np.flatnonzero(runs(doc, sub))
+def found_blobs(n_buckets: int, doc: np.ndarray, sub: np.ndarray, first: np.ndarray, n: np.ndarray | int = 1, kind: int = 0, bucket: int = -1) -> pa.RecordBatch:
+    """Spans found by a reduce task, to buckets by document; see by_document()."""
+    size = len(doc)
+    columns = [doc, sub, np.full(size, kind, np.int8), first.astype(np.int32), np.broadcast_to(np.asarray(n, np.int32), size), np.full(size, bucket, np.int32)]
+    return blob_rows(bucket_of(mix(doc.astype(np.uint64)), n_buckets), columns)
+
+
+def _regroup(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns, _ = received(batches)
+    if not columns:
+        return
+    order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+    doc, sub, kind, first, n, bucket = (c[order] for c in columns)
+    at = np.flatnonzero(runs(doc, sub, kind))
     edges = np.append(at, len(doc))
-    m = len(at)
-    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(sub[at]), pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, bucket, np.int32)), lists(edges, first, pa.int32()), lists(edges, n, pa.int32())], schema=FOUND)
+    for lo in range(0, len(at), 2000):
+        part = edges[lo : lo + 2001]
+        rows, spans = part[:-1], slice(part[0], part[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(sub[rows]), pa.array(kind[rows].astype(np.int32)), *(lists(part - part[0], c[spans], pa.int32()) for c in (first, n, bucket))], schema=FOUND)
+
+
+def by_document(blobs: DataFrame, n_buckets: int) -> DataFrame:
+    """One row a document and kind, with all its spans."""
+    return deal(blobs, n_buckets).mapInArrow(_regroup, FOUND_DDL)
 
 
 def with_found(docs: DataFrame, found: DataFrame, how: str, extra: Sequence[str] = ()) -> DataFrame:

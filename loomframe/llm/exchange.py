@@ -93,12 +93,19 @@ def deal(blobs: DataFrame, n: int) -> DataFrame:
 
 def received(batches: Iterable[pa.RecordBatch]) -> tuple[list[np.ndarray], int]:
     """All columns of a reduce task's blobs, joined; the bucket, or -1 if there is none."""
-    parts, bucket = [], -1
+    found, bucket = received_kinds(batches)
+    return next(iter(found.values()), []), bucket
+
+
+def received_kinds(batches: Iterable[pa.RecordBatch]) -> tuple[dict[int, list[np.ndarray]], int]:
+    """As received(), for blobs of several kinds, told apart by their number of columns."""
+    parts: dict[int, list] = {}
+    bucket = -1
     for batch in batches:
         for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            bucket = k
-            parts.append(unpack(blob.as_py()))
-    return ([np.concatenate(c) for c in zip(*parts, strict=True)] if parts else []), bucket
+            bucket, columns = k, unpack(blob.as_py())
+            parts.setdefault(len(columns), []).append(columns)
+    return {k: [np.concatenate(c) for c in zip(*x, strict=True)] for k, x in parts.items()}, bucket
 
 
 def buckets(df: DataFrame) -> int:

@@ -54,8 +54,8 @@ def _combined(columns: list[np.ndarray], n_keys: int, n: int) -> tuple[np.ndarra
     return bucket, [kind, *keys, *places]
 
 
-def _repeated(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
-    columns, bucket = received(batches)
+def _repeated(batches: Iterable[pa.RecordBatch], n_keys: int, n: int) -> Iterator[pa.RecordBatch]:
+    columns, _ = received(batches)
     if not columns:
         return
     kind, keys, (doc, sub, at) = columns[0], columns[1 : 1 + n_keys], columns[1 + n_keys :]
@@ -66,7 +66,7 @@ def _repeated(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[pa.Rec
     sent = np.bincount(group[~passed], weights=1.0 + kind[order][~passed], minlength=group[-1] + 1)
     found = order[passed | (sent[group] >= 2)]
     if len(found):
-        yield docwork.found_rows(doc[found], sub[found], 0, bucket, at[found], np.ones(len(found), np.int32))
+        yield docwork.found_blobs(n, doc[found], sub[found], at[found])
 
 
 def _anchors(window: int, period: int, cover: tuple[int, ...], n: int):
@@ -167,9 +167,9 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     n = buckets(df)
     docs = docwork.keyed(df, id_col, text_col)
     anchors = deal(docs.mapInArrow(_anchors(window, period, cover, n), BLOBS_DDL), n)
-    found = cut(anchors.mapInArrow(lambda it: _repeated(it, 1), docwork.FOUND_DDL), "anchors")
+    found = cut(docwork.by_document(anchors.mapInArrow(lambda it: _repeated(it, 1, n), BLOBS_DDL), n), "anchors")
     near = docwork.with_found(docs, found, "inner")
     windows = deal(near.select("k_doc", "k_sub", "text", "spans").mapInArrow(_windows(window, period, n), BLOBS_DDL), n)
-    repeated = cut(windows.mapInArrow(lambda it: _repeated(it, 2), docwork.FOUND_DDL), "windows")
+    repeated = cut(docwork.by_document(windows.mapInArrow(lambda it: _repeated(it, 2, n), BLOBS_DDL), n), "windows")
     out = docwork.with_found(docs, repeated, "left").select("k_doc", "k_sub", "text", "spans").mapInArrow(_kept(window, with_text), RESULT_DDL)
     return out.select(docwork.doc_id(), "n_words", "n_removed", "kept_sha256", *["text"] * with_text)
