@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, substrings
+from . import mixing, parsing, quality, sharding, substrings
 
 #: Production shards: 64 of equal weight.
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
@@ -24,6 +24,10 @@ def op2_lookup_table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"], SHARDS)
 
 
+def op3_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.remove_repeated_bytes(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op4_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_robust_quality, op2_lookup_table_sharding, op4_curriculum_mixing, op8_difference_cover_dedup)
+    for f in (op1_robust_quality, op2_lookup_table_sharding, op3_prefix_free_dedup, op4_curriculum_mixing, op8_difference_cover_dedup)
 }
 
 ORACLES: dict[str, str] = {"op4_curriculum_mixing": mixing.ORACLE_SQL}

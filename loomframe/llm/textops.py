@@ -124,21 +124,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bits that window_owner() leaves for places; the others are a key's rank.
+PLACE_BITS = 23
+
+
 def window_owner(keys: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` places, the place of the least key in it, the first of equals."""
-    n = len(keys) - width + 1
+    """For each window of ``width`` places, the place of the least key in it (without its PLACE_BITS low bits), the first of equals."""
+    n, block = len(keys) - width + 1, 1 << (PLACE_BITS - 1)
     if n <= 0:
         return np.empty(0, dtype=np.int64)
-    bits = max(1, int(len(keys) - 1).bit_length())
-    packed = (keys >> U64(bits) << U64(bits)) | np.arange(len(keys), dtype=U64)
-    full = -(-len(packed) // width) * width
-    grid = np.full(full, _MASK, dtype=U64)
-    grid[: len(packed)] = packed
+    return np.concatenate([_owner(keys[at : at + block + width - 1], width) + at for at in range(0, n, block)])
+
+
+def _owner(keys: np.ndarray, width: int) -> np.ndarray:
+    n, low = len(keys) - width + 1, U64((1 << PLACE_BITS) - 1)
+    grid = np.full(-(-len(keys) // width) * width, _MASK, dtype=U64)
+    grid[: len(keys)] = (keys & ~low) | np.arange(len(keys), dtype=U64)
     grid = grid.reshape(-1, width)
     left = np.minimum.accumulate(grid, axis=1).ravel()
     right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[:n], left[width - 1 : width - 1 + n])
-    return (least & U64((1 << bits) - 1)).astype(np.int64)
+    return (np.minimum(right[:n], left[width - 1 : width - 1 + n]) & low).astype(np.int64)
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
