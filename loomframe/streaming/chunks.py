@@ -1,0 +1,20 @@
+"""Bounded streams of frames: the chunks of a query, and work on them in turn."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.sql import Cursor, read_cursor_chunks
+
+
+def query_chunks(spark: SparkSession, query: str, cur: Cursor, chunksize: int = 100) -> Iterator[DataFrame]:
+    """The chunks of a DB-API query as DataFrames."""
+    return read_cursor_chunks(spark, query, cur, chunksize)
+
+
+def in_turn(chunks: Iterable[DataFrame], fn: Callable[[DataFrame], Any]) -> Iterator[Any]:
+    """``fn`` of each chunk, when its turn comes."""
+    return (fn(c) for c in chunks)
