@@ -17,6 +17,7 @@ so any store that Spark can write to will do.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -70,13 +71,12 @@ class WaveletMatrix:
         v = tokens.astype(np.uint16 if bits <= 16 else np.uint32)
         n, zeros, ones, ends, parts, at = len(v), [], [], [], [], 0
         for k in range(bits - 1, -1, -1):
-            bit = (v >> v.dtype.type(k)) & v.dtype.type(1)
-            mask = bit.astype(bool)
+            mask = (v & v.dtype.type(1 << k)) != 0
             packed = np.packbits(mask, bitorder="little")
             full = np.zeros(-(-n // BLOCK_BITS) * (BLOCK_BITS // 8), dtype=np.uint8)
             full[: len(packed)] = packed
             blocks = full.reshape(-1, BLOCK_BITS // 8)
-            count = np.add.reduceat(bit, np.arange(0, n, BLOCK_BITS), dtype=np.int64) if n else np.empty(0, np.int64)
+            count = np.bitwise_count(full.view(np.uint64)).reshape(len(blocks), BLOCK_BITS // 64).sum(axis=1, dtype=np.int64)
             ones.append((np.cumsum(count) - count).astype("<u4"))
             for block in blocks:
                 parts.append(squeeze.compress(block.tobytes()))
@@ -165,7 +165,7 @@ class WaveletMatrix:
         widen = zstandard.ZstdDecompressor()
         for plane in range(self.bits - 1, -1, -1):
             raw = b"".join(widen.decompress(self.blob[a:b], max_output_size=BLOCK_BITS // 8) for a, b in self.spans[plane])
-            mask = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.n].astype(bool)
+            mask = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.n].view(bool)
             z, here = self.zeros[plane], np.empty(self.n, dtype=kind)
             here[~mask] = out[:z]
             here[mask] = out[z:] | kind(1 << (self.bits - 1 - plane))
@@ -173,99 +173,133 @@ class WaveletMatrix:
         return out
 
 
+class HashTable:
+    """64-bit keys to their numbers, in open addressing; looks up and adds arrays of keys. Key 0 is taken for 1."""
+
+    def __init__(self, room: int):
+        self.bits = max(4, (2 * room).bit_length())
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.numbers = np.zeros(1 << self.bits, dtype=np.int32)
+        self.n = 0
+
+    def _start(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.maximum(keys, np.uint64(1))
+        return keys, (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' numbers, -1 for unknown ones."""
+        keys, at = self._start(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.numbers[at], -1)
+        left = np.flatnonzero((there != keys) & (there != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.numbers[at[left[hit]]]
+            left = left[~hit & (there != 0)]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct unknown keys, which get the next numbers in their order."""
+        keys, at = self._start(keys)
+        numbers = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.n += len(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = keys[free]
+            own = free[self.keys[at[free]] == keys[free]]  # of keys for one place the last was written
+            self.numbers[at[own]] = numbers[own]
+            done = np.zeros(len(keys), dtype=bool)
+            done[own] = True
+            left = left[~done[left]]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+
 class Encoder:
     """Encodes batches of texts; each distinct stretch of text between safe places is encoded once.
 
     A text may be cut before a single space between two characters that surely aren't white space: the tokenizer's
     word pattern always begins a new word there, so the parts' ids joined are the text's ids. Ids of the first
-    ``memory`` distinct parts are kept by their hash and length.
+    ``memory`` distinct parts are kept by their hash.
     """
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 1_500_000):
+        # a task has one core; the library's threads would only compete with other tasks'
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, (max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, END_ID)).bit_length())
-        self.memory = memory
-        self.known: dict[int, int] = {}
-        self.pool = np.empty(1 << 20, dtype=np.uint32)
-        self.begin, self.size, self.used = [], [], 0
-        self.table: tuple[np.ndarray, np.ndarray] | None = None
-        letters = {}
-        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            letters[k] = len(token)  # byte-level: one letter a byte
+        self.memory, self.known = memory, HashTable(memory)
+        self.begin, self.size = np.zeros(memory, np.int64), np.zeros(memory, np.int32)
+        self.pool, self.used = np.empty(1 << 20, dtype=np.uint32), 0
+        letters = {k: len(token) for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items()}  # byte-level: one letter a byte
         self.width = np.zeros(max(letters) + 1, dtype=np.int64)
         self.width[list(letters)] = list(letters.values())
 
-    def _encode(self, parts: list[bytes], alone: np.ndarray) -> list[np.ndarray]:
-        """Ids of each part. Parts that aren't ``alone`` begin at a safe place and end before one, so many are encoded as one text."""
-        out: list[np.ndarray | None] = [None] * len(parts)
-        single, joined = np.flatnonzero(alone).tolist(), np.flatnonzero(~alone).tolist()
-        groups = [joined[k : k + 1000] for k in range(0, len(joined), 1000)]
-        texts = [parts[k].decode("utf-8", "replace") for k in single] + [b"".join(parts[k] for k in g).decode() for g in groups]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for k, e in zip(single, found, strict=False):
-            out[k] = np.array(e.ids, dtype=np.uint32)
-        for g, e in zip(groups, found[len(single) :], strict=True):
-            ids = np.array(e.ids, dtype=np.uint32)
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(parts[k]) for k in g])) + 1
-            for k, a, b in zip(g, [0, *cuts[:-1]], cuts, strict=True):
-                out[k] = ids[a:b]
-        return out
+    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, joined, and how many each has. All but the last ``alone`` parts begin at a safe place and end before one,
+        so many of them are encoded as one text."""
+        joined, size = len(start) - alone, end - start
+        groups = list(range(0, joined, 1000)) + [joined]
+        texts = [data[ragged(start[a:b], size[a:b])].tobytes().decode() for a, b in zip(groups, groups[1:], strict=False)]
+        texts += [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[joined:].tolist(), end[joined:].tolist(), strict=True)]
+        ids = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = [np.empty(0, np.int64)]
+        for k, (a, b) in enumerate(zip(groups, groups[1:], strict=False)):
+            cuts = np.searchsorted(np.cumsum(self.width[ids[k]]), np.cumsum(size[a:b])) + 1
+            counts.append(np.diff(cuts, prepend=0))
+        counts.append(np.array([len(x) for x in ids[len(groups) - 1 :]], dtype=np.int64))
+        return np.concatenate(ids) if ids else np.empty(0, np.uint32), np.concatenate(counts)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and of each row how many."""
         n = len(data)
-        plain = (data > 0x20) & (data < 0x7F)
-        after = np.append(plain[1:] | (data[1:] == 0xC3), False) if n else plain
-        before = np.append(False, plain[:-1]) if n else plain
-        if n > 2:
-            before[2:] |= data[:-2] == 0xC3
-        safe = (data == 0x20) & before & after
-        inner = offsets[1:-1][offsets[1:-1] < n]
+        if not n:
+            return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        place = np.flatnonzero(data == 0x20)
+        place = place[(place > 0) & (place < n - 1)]
+        before, after, two = data[place - 1], data[place + 1], data[np.maximum(place - 2, 0)]
+        plain = lambda x: (x > 0x20) & (x < 0x7F)
+        place = place[(plain(before) | ((two == 0xC3) & (place > 1))) & (plain(after) | (after == 0xC3))]
+        safe = np.zeros(n + 1, dtype=bool)
+        safe[place] = True
         # at a row's edges nothing is known of the neighbour
-        for edge in (offsets[:-1], offsets[:-1] + 1, offsets[1:] - 1):
+        for edge in (offsets[:-1], offsets[1:] - 1):
             safe[edge[(edge >= 0) & (edge < n)]] = False
-        full = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], inner, np.flatnonzero(safe)])) if n else np.empty(0, np.int64)
-        ends = np.append(full[1:], n) if n else full
+        begins = safe[:n].copy()
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        full = np.flatnonzero(begins)
+        ends = np.append(full[1:], n)
         key = ROLL.hashes(ROLL.sums(data), full, ends)
-        unique, first, which = np.unique(key, return_index=True, return_inverse=True)
-        known = self.known
-        slot = np.array([known.get(k, -1) for k in unique.tolist()], dtype=np.int64)
-        new = np.flatnonzero(slot < 0)
-        begin, size = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
-        if self.table is None or len(self.table[0]) < len(self.begin):
-            self.table = (np.array(self.begin, np.int64), np.array(self.size, np.int64))
-        old = slot >= 0
-        begin[old], size[old] = self.table[0][slot[old]], self.table[1][slot[old]]
-        pool = self.pool[: self.used]
+        number = self.known.find(key).astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        pool = self.pool
+        begin, size = self.begin[number], self.size[number].astype(np.int64)
         if len(new):
-            at, stop = full[first[new]], ends[first[new]]
-            alone = ~(safe[at] & np.append(safe, False)[stop])
-            raw = data.tobytes()
-            ids = self._encode([raw[a:b] for a, b in zip(at.tolist(), stop.tolist(), strict=True)], alone)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            fresh = np.concatenate(ids)
-            begin[new], size[new] = self.used + np.cumsum(lengths) - lengths, lengths
-            room = self.memory - len(known)
-            if room > 0:
-                keep = min(room, len(new))
-                more = int(lengths[:keep].sum())
-                while self.used + more > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-                self.pool[self.used : self.used + more] = fresh[:more]
-                known.update(zip(unique[new[:keep]].tolist(), range(len(self.begin), len(self.begin) + keep), strict=True))
-                self.begin += begin[new[:keep]].tolist()
-                self.size += lengths[:keep].tolist()
-                pool = np.concatenate([self.pool[: self.used], fresh])
-                self.used += more
-            else:
-                pool = np.concatenate([pool, fresh])
-        total = size[which]
-        ids = pool[ragged(begin[which], total)]
-        sums = np.append(0, np.cumsum(total))
-        edge = np.searchsorted(full, offsets)
-        return ids, np.diff(sums[edge])
+            unique, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            at = new[first]
+            alone = ~(safe[full[at]] & safe[ends[at]])
+            order = np.argsort(alone, kind="stable")
+            fresh, counts = self._encode(data, full[at][order], ends[at][order], int(alone.sum()))
+            starts = self.used + np.cumsum(counts) - counts
+            keep = min(self.memory - self.known.n, len(order))
+            if keep:
+                lo = self.known.n
+                self.known.add(unique[order[:keep]])
+                self.begin[lo : lo + keep], self.size[lo : lo + keep] = starts[:keep], counts[:keep]
+            while self.used + len(fresh) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+            pool = self.pool
+            pool[self.used : self.used + len(fresh)] = fresh
+            self.used += int(counts[:keep].sum())
+            back = np.empty(len(order), dtype=np.int64)
+            back[order] = np.arange(len(order))
+            begin[new], size[new] = starts[back[which]], counts[back[which]]
+        sums = np.append(0, np.cumsum(size))
+        return pool[ragged(begin, size)], np.diff(sums[np.searchsorted(full, offsets)])
 
 
 _encoders: dict[str, Encoder] = {}
