@@ -105,14 +105,15 @@ class Index:
 
 
 def longest_stretch(same: np.ndarray, similarity: float) -> tuple[int, int, int]:
-    """Begin, length and agreeing words of the longest stretch of which a share of ``similarity`` agrees, the first of equals."""
-    part = np.append(0, np.cumsum(np.where(same, 1.0 - similarity, -similarity)))
-    part = np.round(part, 9)
-    low, high = np.minimum.accumulate(part), np.maximum.accumulate(part[::-1])[::-1]
+    """Begin, length and agreeing words of the longest stretch that begins and ends with words that agree, and of which
+    a share of ``similarity`` agrees; the first of equals."""
+    part = np.round(np.append(0, np.cumsum(np.where(same, 1.0 - similarity, -similarity))), 9)
+    low = np.minimum.accumulate(np.where(np.append(same, False), part, np.inf))
+    high = np.maximum.accumulate(np.where(np.append(False, same), part, -np.inf)[::-1])[::-1]
     # for each end the earliest begin that is as low: both are monotone, so two pointers suffice
     best, begin, i = 0, 0, 0
     for j in range(len(part)):
-        while i <= j and low[i] > high[j]:
+        while i < len(low) and i <= j and low[i] > high[j]:
             i += 1
         if j - i > best:
             best, begin = j - i, i
@@ -164,8 +165,9 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, masks: tuple[str,
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document and benchmark item that overlap: doc_id, item_id, overlap, n_same, start.
 
-    ``overlap``: words of the longest stretch with at least ``similarity`` of its words the same, ``min_overlap`` or
-    more (the whole item if it is shorter); ``start``: its first word in the document. Words: see plain_words(). Null or
+    ``overlap``: words of the longest stretch, from one word that agrees to another, with at least ``similarity`` of its words the same, ``min_overlap`` or
+    more (the whole item if it is shorter); ``start``: its first word in the document. Words: see plain_words(). Items
+    with fewer words than the shortest mask aren't looked for, as they say too little. Null or
     empty texts match nothing; null ids stay null; each of repeated rows gives its own result rows; an empty
     documents or benchmark table gives an empty result. Other columns aren't read.
     """
