@@ -59,9 +59,12 @@ def by_document(blobs: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def with_found(docs: DataFrame, found: DataFrame, how: str, extra: Sequence[str] = ()) -> DataFrame:
-    """``docs`` (keyed) joined with all spans found in each: the array ``spans`` of (first, n, *extra)."""
+    """``docs`` (keyed) joined with all spans found in each: the array ``spans`` of (first, n, *extra).
+
+    A merge join at every size, so that what it takes grows as the texts do.
+    """
     grouped = found.groupBy("k_doc", "k_sub").agg(F.collect_list(F.struct("first", "n", *extra)).alias("spans"))
-    return docs.join(grouped, ["k_doc", "k_sub"], how)
+    return docs.join(grouped.hint("merge"), ["k_doc", "k_sub"], how)
 
 
 def flat_spans(column: pa.Array, names: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray]]:
