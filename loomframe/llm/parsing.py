@@ -79,10 +79,12 @@ def _parse(match: int, trigger: int, n: int):
         group = np.cumsum(by_key) - 1
         hot = np.bincount(group, weights=new) > HOT_LOCAL
         kind[hot[group] & new] = _HOT
-        bucket = np.where(kind == _LATER, bucket_of(mix(doc.astype(np.uint64)), n), np.where(kind == _HOT, bucket_of(mix(phrase.copy()), n), bucket_of(key, n)))
+        # trigger hashes are minima, and so small: they are mixed again to choose a bucket
+        home = bucket_of(mix(key + np.uint64(1)), n)
+        bucket = np.where(kind == _LATER, bucket_of(mix(doc.astype(np.uint64)), n), np.where(kind == _HOT, bucket_of(mix(phrase + np.uint64(1)), n), home))
         mark = np.flatnonzero(by_key)[hot]
         rows = np.append(np.arange(len(key)), mark)
-        kind, bucket = np.append(kind, np.full(len(mark), _MARK, np.int8)), np.append(bucket, bucket_of(key[mark], n))
+        kind, bucket = np.append(kind, np.full(len(mark), _MARK, np.int8)), np.append(bucket, home[mark])
         return [blob_rows(bucket, [kind, *(c[rows] for c in (key, phrase, doc, sub, first, count))])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
