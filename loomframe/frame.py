@@ -376,35 +376,27 @@ class Frame:
 
     def coalesce_column(self, column: str, fills: Sequence[object]) -> Frame:
         """coalesce() as a frame."""
-        df, kinds, arrays = self._df, {f.name: f.dataType for f in self._df.schema}, {}
-        parts: list[tuple[Column, T.DataType]] = [(_q(column), kinds[column])] if column in self.columns else []
+        parts, arrays = [_q(column)] if column in self.columns else [], {}
         for i, fill in enumerate(fills):
             if isinstance(fill, Column):
-                parts.append((fill, self._df.select(fill.alias("v")).schema[0].dataType))
+                parts.append(fill)
                 continue
             array = local.as_array(fill)
-            arrow = local.as_arrow(array)
             if len(array) == 1:
-                parts.append((F.lit(arrow[0].as_py()), self._df.sparkSession.createDataFrame(pa.table({"v": arrow})).schema[0].dataType))
-            else:
-                if len(array) != self.rows:
-                    raise ValueError(f"{len(array)} values can't fill {self.rows} rows.")
-                arrays[f"__lf_fill_{i}"] = array
-        base = self._overlaid(arrays) if arrays else self
-        parts += [(_q(n), base._df.schema[n].dataType) for n in arrays]
-        order = {f"__lf_fill_{i}": i for i in range(len(fills))}
-        given = parts[: len(parts) - len(arrays)]
-        # fills count in the order they were given
-        merged: list[tuple[Column, T.DataType]] = given[:1] if column in self.columns else []
-        rest, late = given[len(merged) :], {order[n]: (_q(n), base._df.schema[n].dataType) for n in arrays}
-        for i in range(len(fills)):
-            merged.append(late[i] if i in late else rest.pop(0))
-        kinds_used = {type(k) for _, k in merged if not isinstance(k, T.NullType)}
-        text = T.StringType in kinds_used and len(kinds_used) > 1
-        values = [missing_as_null(c, k) for c, k in merged]
+                parts.append(F.lit(local.as_arrow(array)[0].as_py()))
+                continue
+            if len(array) != self.rows:
+                raise ValueError(f"{len(array)} values can't fill {self.rows} rows.")
+            arrays[f"__lf_fill_{i}"] = array
+            parts.append(_q(f"__lf_fill_{i}"))
+        df = self._overlaid(arrays)._df if arrays else self._df
+        kinds = [f.dataType for f in df.select(*(c.alias(f"k{i}") for i, c in enumerate(parts))).schema]
+        used = {type(k) for k in kinds if not isinstance(k, T.NullType)}
+        text = T.StringType in used and len(used) > 1
+        values = [missing_as_null(c, k) for c, k in zip(parts, kinds, strict=True)]
         values = [v.cast("string") for v in values] if text else values
-        df = base._df.withColumn(column, F.coalesce(*values) if values else F.lit(None).cast("string"))
-        return Frame._of(df.drop(*arrays), self._order_by)
+        filled = F.coalesce(*values) if used else F.lit(None).cast("string")
+        return Frame._of(df.withColumn(column, filled).drop(*arrays), self._order_by)
 
     def coalesce(self, column: str, fills: Sequence[object]) -> np.ndarray:
         """The values of ``column`` (null where there is none), missing ones filled from each of ``fills`` in turn: a Column, a

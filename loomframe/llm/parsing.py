@@ -290,3 +290,18 @@ def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str =
     later = found.filter(F.col("kind") == LATER).unionByName(more)
     out = docwork.with_found(docs, later, "left").select("k_doc", "k_sub", "text", "spans").mapInArrow(_kept(match, with_bytes), RESULT_DDL)
     return out.select(docwork.doc_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes)
+
+
+#: DuckDB SQL for remove_repeated_bytes() over ``documents``, without the bytes. Places are bytes; two hexadecimal digits each.
+ORACLE_SQL = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+s as (select doc_id, unnest(generate_series(0, (length(h) // 2)::bigint - 1)) as pos, h from d where length(h) > 0),
+k as (select doc_id, pos, md5(substr(h, 2 * pos + 1, 200)) as key from s where pos <= (length(h) // 2)::bigint - 100),
+r as (select doc_id, pos, row_number() over (partition by key order by doc_id, pos) > 1 as again from k),
+m as (select s.doc_id, s.pos, substr(s.h, 2 * s.pos + 1, 2) as b, coalesce(r.again, false) as again from s left join r on s.doc_id = r.doc_id and s.pos = r.pos),
+c as (select doc_id, pos, b, max(again::int) over (partition by doc_id order by pos rows between 99 preceding and current row) = 1 as gone from m),
+e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by pos), false) as begins from c),
+g as (select doc_id, sum(gone::int)::bigint as n_removed, sum(begins::int)::bigint as n_spans, coalesce(string_agg(case when not gone then b end, '' order by pos), '') as kept from e group by doc_id)
+select d.doc_id, (length(d.h) // 2)::bigint as n_bytes, coalesce(g.n_removed, 0)::bigint as n_removed, coalesce(g.n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(g.kept, ''))) as kept_sha256
+from d left join g on d.doc_id = g.doc_id
+"""

@@ -118,6 +118,8 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("__lf_lines") - F.size(F.array_distinct("__lf_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("__lf_words"), n).alias("n_repeat_words"),
         F.size("__lf_lines").cast("long").alias("n_lines"),
+        # a column that isn't deterministic keeps the optimizer from copying these expressions into filters above
+        F.monotonically_increasing_id().alias("row"),
     ))
     c = F.col("__lf_counts")
     failed = (c["n_words"] < MIN_WORDS) | (c["n_repeat_words"] * 100 > c["n_words"] * MAX_REPEAT_PERCENT)

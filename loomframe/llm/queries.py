@@ -81,4 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op4_curriculum_mixing": mixing.ORACLE_SQL, "op6_line_window_dedup": lines.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op3_prefix_free_dedup": parsing.ORACLE_SQL,
+    "op4_curriculum_mixing": mixing.ORACLE_SQL,
+    "op6_line_window_dedup": lines.ORACLE_SQL,
+    "op8_difference_cover_dedup": substrings.ORACLE_SQL,
+}

@@ -173,3 +173,18 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     repeated = cut(docwork.by_document(windows.mapInArrow(lambda it: _repeated(it, 2, n), BLOBS_DDL), n), "windows")
     out = docwork.with_found(docs, repeated, "left").select("k_doc", "k_sub", "text", "spans").mapInArrow(_kept(window, with_text), RESULT_DDL)
     return out.select(docwork.doc_id(), "n_words", "n_removed", "kept_sha256", *["text"] * with_text)
+
+
+#: DuckDB SQL for remove_repeated_windows() over ``documents``, without the text.
+ORACLE_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+s as (select doc_id, unnest(generate_series(1, len(w) - 34)) as pos, w from d where len(w) >= 35),
+k as (select doc_id, pos, array_to_string(list_slice(w, pos, pos + 34), ' ') as key from s),
+r as (select doc_id, pos, count(*) over (partition by key) > 1 as again from k),
+m as (select p.doc_id, p.pos, p.word, coalesce(r.again, false) as again from p left join r on p.doc_id = r.doc_id and p.pos = r.pos),
+c as (select doc_id, pos, word, max(again::int) over (partition by doc_id order by pos rows between 34 preceding and current row) = 1 as gone from m),
+g as (select doc_id, sum(gone::int)::bigint as n_removed, coalesce(string_agg(case when not gone then word end, ' ' order by pos), '') as kept from c group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(g.n_removed, 0)::bigint as n_removed, sha256(coalesce(g.kept, '')) as kept_sha256
+from d left join g on d.doc_id = g.doc_id
+"""

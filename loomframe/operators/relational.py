@@ -148,8 +148,7 @@ class Transform(_Aggregated):
                 pdf[name] = np.trunc(found).astype("int64") if whole and np.asarray(found).dtype.kind == "f" else found
             return pdf
 
-        flat = rows if not isinstance(rows.schema["__lf_order"].dataType, T.StructType) else rows
-        return flat.groupBy(*(_q(k) for k in self.keys)).applyInPandas(run, schema)
+        return rows.groupBy(*(_q(k) for k in self.keys)).applyInPandas(run, schema)
 
 
 def _plain(value: object) -> object:

@@ -39,7 +39,7 @@ def _number(c: Column) -> Column:
 
 
 def _as_int(c: Column, kind: str) -> Column:
-    return F.when(F.trim(c).rlike(_INT), F.expr("null").cast(kind) if c is None else _number(c).try_cast(kind))
+    return F.when(F.trim(c).rlike(_INT), _number(c).try_cast(kind))
 
 
 def _as_float(c: Column) -> Column:
@@ -58,8 +58,8 @@ def parsers() -> list[tuple[str, object]]:
 
 
 def read_text(spark: SparkSession, path: str | Path, missing: str | None = "", sep: str = ",", quote: str = '"', multi_line: bool = False) -> DataFrame:
-    """All columns as text; ``missing`` is null, as with blanks if it is the empty string."""
-    path = str(path)
+    """All columns as text, from a path or an open file's path; ``missing`` is null, as with blanks if it is the empty string."""
+    path = str(getattr(path, "name", path) if not isinstance(path, str | Path) else path)
     head = spark.read.text(path, wholetext=False).head(1)
     if not head:
         raise ValueError(f"{path} has no header.")
