@@ -18,15 +18,17 @@ from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
+
 #: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Most frequent words of the pages that make the unigram model: about 1 MB.
+#: Most words of the pages, by frequency, that make the unigram model: about 1 MB.
 LEXICON_SIZE = 50_000
-#: Most frequent tokens of the classifier: about 5 MB.
+#: Most tokens of the classifier, by frequency: about 5 MB.
 VOCABULARY_SIZE = 100_000
 LONGEST_WORD = 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,10 +61,19 @@ def page_words(html: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"[a-z]{2,24}"), F.lit(0))
 
 
+def most_frequent(counts: DataFrame, size: int) -> list:
+    """The rows of ``counts`` (with a column ``n``) with the greatest n: as many whole classes of equal n as make up to
+    ``size`` rows. Only the bound is worked out over all rows, from how many there are of each n."""
+    classes = counts.groupBy("n").agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    least = classes.withColumn("upto", upto).filter(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    return [] if least is None else counts.filter(F.col("n") >= least).collect()
+
+
 def lexicon(df: DataFrame, html_col: str = "html", size: int = LEXICON_SIZE) -> dict[str, int]:
-    """The ``size`` most frequent words and their counts, over all pages; ties by the word."""
-    counts = df.select(F.explode(page_words(F.col(f"`{html_col}`"))).alias("word")).groupBy("word").count()
-    return {r["word"]: r["count"] for r in counts.orderBy(F.desc("count"), "word").limit(size).collect()}
+    """The most frequent words and their counts over all pages, up to ``size``; of words of equal count all or none."""
+    counts = df.select(F.explode(page_words(F.col(f"`{html_col}`"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return {r["word"]: r["n"] for r in most_frequent(cut(counts, "lexicon"), size)}
 
 
 class Segmenter:
@@ -124,7 +135,7 @@ def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
 
 def train(df: DataFrame, counts: dict[str, int], size: int = VOCABULARY_SIZE) -> tuple[float, float, dict[str, float]]:
     """Naive Bayes over all urls that have a ``verdict``: the log odds of block before any token, of an unknown
-    token, and of each of the ``size`` most frequent tokens. df: host, path, verdict."""
+    token, and of each of the most frequent tokens, up to ``size``. df: host, path, verdict."""
     sent = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +159,9 @@ def train(df: DataFrame, counts: dict[str, int], size: int = VOCABULARY_SIZE) ->
 
     known = df.filter(F.col("verdict").isNotNull()).select("host", "path", "verdict")
     sums = known.mapInArrow(run, "token string, allow long, block long").groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    rows = sums.orderBy((F.col("token") != ""), F.desc(F.col("allow") + F.col("block")), "token").limit(size + 1).collect()
-    urls = next(((r["allow"], r["block"]) for r in rows if r["token"] == ""), (0, 0))
-    table = {r["token"]: (r["allow"], r["block"]) for r in rows if r["token"] != ""}
+    counts = cut(sums.withColumn("n", F.col("allow") + F.col("block")), "vocabulary")
+    urls = next(((r["allow"], r["block"]) for r in counts.filter("token = ''").collect()), (0, 0))
+    table = {r["token"]: (r["allow"], r["block"]) for r in most_frequent(counts.filter("token <> ''"), size)}
     allow, block = (sum(v[k] for v in table.values()) + len(table) + 1 for k in (0, 1))
     odds = lambda a, b: math.log(b + 1) - math.log(block) - math.log(a + 1) + math.log(allow)
     return math.log(urls[1] + 1) - math.log(urls[0] + 1), odds(0, 0), {k: odds(*v) for k, v in table.items()}
