@@ -292,9 +292,7 @@ class Frame:
         """The rows at positions, which may repeat, with their new place ``__lf_to``."""
         table = pa.table({"__lf_from": pa.array(at, pa.int64()), "__lf_to": pa.array(np.arange(len(at)), pa.int64())})
         chosen = self._df.sparkSession.createDataFrame(table)
-        out = self._with_positions().join(chosen, _q(_POS) == _q("__lf_from")).drop("__lf_from")
-        kept = [c for c in self._df.columns if c != RID]
-        return out.select(*(_q(c) for c in kept), *([_q(RID)] if RID in self._df.columns else []), _q(_POS), _q("__lf_to")) if self._df.columns else out
+        return self._with_positions().join(chosen, _q(_POS) == _q("__lf_from")).drop("__lf_from")
 
     def __setitem__(self, name: str, value: Any) -> None:
         """A Column or a scalar; values of the frame's length are put in by position."""
