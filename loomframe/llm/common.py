@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 #: The six ASCII white-space characters that separate words; any other character is part of a word.
 SPACES = " \t\n\x0b\x0c\r"
@@ -18,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
+_cuts: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +38,25 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later stages don't depend on lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomframe-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    void = [f.name for f in df.schema if isinstance(f.dataType, NullType)]  # Parquet has no such type
+    written = df.withColumns({c: F.lit(None).cast("string") for c in void})
+    written.write.parquet(path)
+    _cuts.setdefault(spark.sparkContext.applicationId, []).append(path)
+    read = spark.read.schema(written.schema).parquet(path)
+    return read.withColumns({c: F.lit(None) for c in void})
 
 
-def let(value: Column, body) -> Column:
+def clear_cuts(spark: SparkSession) -> int:
+    """Delete the tables that cut() has written in this application, once their results are stored elsewhere; how many there were."""
+    paths = _cuts.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
+def bind(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable, so that ``body`` can use it many times and it is computed once."""
     return F.transform(F.array(value), body)[0]
 

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, cut, words
+from .common import SPACES, WORD, bind, cut, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -94,13 +94,9 @@ def _repeat_words(w: Column, n: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
 
     def of(found: Column) -> Column:
-        return _bind(F.sort_array(F.transform(found, window)), lambda s: _bind(F.sort_array(repeated(s)), covered))
+        return bind(F.sort_array(F.transform(found, window)), lambda s: bind(F.sort_array(repeated(s)), covered))
 
-    return F.when(n >= 4, _bind(F.sort_array(packed), lambda s: _bind(candidates(s), lambda c: F.when(F.size(c) > 0, of(c)).otherwise(0)))).otherwise(0).cast("long")
-
-
-def _bind(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+    return F.when(n >= 4, bind(F.sort_array(packed), lambda s: bind(candidates(s), lambda c: F.when(F.size(c) > 0, of(c)).otherwise(0)))).otherwise(0).cast("long")
 
 
 def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -215,9 +211,9 @@ def fit(stats: DataFrame, subset: float = SUBSET, steps: int = STEPS, min_group:
     return cut(groups.join(best, "g", "left").select("lang", "source", *_KEPT), "mcd-best")
 
 
-def judge(df: DataFrame, lang_col: str = "lang", source_col: str = "source", quantile: float = QUANTILE, vectors: DataFrame | None = None) -> DataFrame:
-    """``df`` (with ``__lf_base``) with ``__lf_distance`` (null without an estimate) and ``__lf_kept``. ``vectors``: the rows to fit on, else ``df``'s."""
-    stats = (vectors if vectors is not None else df).filter("not __lf_base.base_failed")
+def judge(df: DataFrame, lang_col: str = "lang", source_col: str = "source", quantile: float = QUANTILE) -> DataFrame:
+    """``df`` (with ``__lf_base``) with ``__lf_distance`` (null without an estimate) and ``__lf_kept``."""
+    stats = df.filter("not __lf_base.base_failed")
     stats = stats.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), *(v.alias(c) for c, v in zip(_X, vector(F.col("__lf_base")), strict=True)))
     best = fit(stats)
     best = best.select(*(F.col(c).alias(f"__lf_{c}") for c in best.columns))
@@ -244,10 +240,7 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def good_documents(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", quantile: float = QUANTILE) -> DataFrame:
-    """The rows of ``df`` that quality() keeps, all columns unchanged. Texts are counted twice rather than shuffled."""
-    slim = df.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
-    vectors = cut(base_counts(slim).drop("text"), "quality-counts")
-    counted = base_counts(df, text_col)
-    stats = vectors.select(F.col("lang").alias(lang_col), F.col("source").alias(source_col), "__lf_base")
-    out = judge(counted, lang_col, source_col, quantile, vectors=stats)
-    return out.filter("__lf_kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df`` that quality() keeps, all columns unchanged. The rows and their counts are written once to the shared
+    folder and filtered from there: texts are counted once, and never shuffled."""
+    counted = cut(base_counts(df, text_col), "quality-documents")
+    return judge(counted, lang_col, source_col, quantile).filter("__lf_kept").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -98,3 +98,11 @@ def test_components(spark):
     label = {r.node: r.label for r in out}
     assert len({label[c + (1 << 41)] for c in chain}) == 1 and len(set(label.values())) == 41 and 7 not in label
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_cuts_are_cleared(spark):
+    from loomframe.llm import common
+
+    kept = common.cut(spark.range(5), "test")
+    assert kept.count() == 5 and common.clear_cuts(spark) >= 1
+    assert common.clear_cuts(spark) == 0
