@@ -44,6 +44,8 @@ MATCH = 100
 TRIGGER = 32
 
 LATER, ENTRY = 1, 2
+#: Bytes that fit into a first rank.
+PACKED_BYTES = 7
 #: Kinds of rows in the exchange of phrases.
 _PLAIN, _LATER, _HOT, _MARK = 0, 1, 2, 3
 #: A trigger is hot if a map task has more phrases for it at a flush, or a bucket more entries.
@@ -163,23 +165,42 @@ def suffix_ranks(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     string that each place is in ends; shorter suffixes get ranks below all they are prefixes of."""
     n = len(text)
     place = np.arange(n)
-    rank = text.astype(np.int64) + 1
-    width = 1
-    while width < depth:
+    room = ends - place
+    packed = np.zeros(n, dtype=np.int64)
+    width = min(PACKED_BYTES, depth)
+    for k in range(width):
+        packed *= 257
+        left = max(0, n - k)
+        packed[:left] += np.where(room[:left] > k, text[k:].astype(np.int64) + 1, 0)
+    order = np.argsort(packed)
+    rank, open_ = _ranked(order, runs(packed[order]), np.zeros(n, np.int64), order)
+    while width < depth and len(open_):
+        # only places that share their rank are told further apart; a rank is the number of lesser suffixes
         step = min(width, depth - width)
-        follow = np.zeros(n, dtype=np.int64)
-        near = place + step < ends
-        follow[near] = rank[place[near] + step]
-        both = rank * (int(rank.max()) + 1) + follow
+        follow = np.where(room[open_] > step, rank[np.minimum(open_ + step, n - 1)] + 1, 0)
+        both = rank[open_] * (n + 1) + follow
         order = np.argsort(both)
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(runs(both[order]))
+        sorted_open = open_[order]
+        rank, open_ = _ranked(sorted_open, runs(both[order]), rank[sorted_open], rank)
         width += step
     return rank
 
 
+def _ranked(places: np.ndarray, new: np.ndarray, base: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of sorted places: their group's ``base``, and how many of the group stand before the first equal one; and the
+    places that share a rank."""
+    at = np.arange(len(places))
+    groups = runs(base)
+    head = np.maximum.accumulate(np.where(groups, at, 0))
+    equal = np.maximum.accumulate(np.where(new, at, 0))
+    out = rank.copy()
+    out[places] = base + equal - head
+    single = new & np.append(new[1:], True)
+    return out, places[~single]
+
+
 #: Bytes of dictionary for which one suffix array is built.
-SUFFIX_BYTES = 4 << 20
+SUFFIX_BYTES = 1 << 20
 
 
 def _suffix_order(match: int, trigger: int, n: int):
