@@ -2,33 +2,61 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loomframe.llm import common, decontamination, mixing, nearby, quality, queries, sharding
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_written: dict[str, list[str]] = {}
 
+
+def stage(fn: Stage) -> Stage:
+    """A stage that first deletes the tables which the stage before has left in the shared folder, if its input is read from
+    other files: then what the stage before returned has been written and read again, and nothing needs them."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        old, read = _written.pop(app, []), common.roots(docs)
+        if read is not None and not any(p.rpartition("/")[2] in r for p in old for r in read):
+            common.clear_cuts(spark, old)
+        before = set(common.cuts(spark))
+        out = fn(spark, docs, sf_dir)
+        _written[app] = [p for p in common.cuts(spark) if p not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.good_documents(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return nearby.one_of_each(docs)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
     return decontamination.clean_documents(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as they are taken, in the order of the curriculum."""
     return mixing.mixed_documents(docs)
 
 
+@stage
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their slot and shard."""
     return sharding.place(docs, ["doc_id"], queries.SHARDS)
@@ -50,8 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read again."""
     docs = queries.table(spark, sf_dir, "documents")
     name = uuid.uuid4().hex
-    for step, stage in STAGES[:-1]:
+    for step, fn in STAGES[:-1]:
         path = f"{common.shared_dir(spark)}/pipeline-{name}-{step}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        fn(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
@@ -46,14 +47,32 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return read.withColumns({c: F.lit(None) for c in void})
 
 
-def clear_cuts(spark: SparkSession) -> int:
-    """Delete the tables that cut() has written in this application, once their results are stored elsewhere; how many there were."""
-    paths = _cuts.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
-    for p in paths:
+def cuts(spark: SparkSession) -> list[str]:
+    """The tables that cut() has written in this application and that are still there."""
+    return list(_cuts.get(spark.sparkContext.applicationId, []))
+
+
+def roots(df: DataFrame) -> list[str] | None:
+    """The paths of the tables that ``df`` is read from; None if it has any other origin."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        try:
+            paths = leaves.apply(k).relation().location().rootPaths()
+        except Py4JError:
+            return None
+        out += [paths.apply(i).toString() for i in range(paths.size())]
+    return out
+
+
+def clear_cuts(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete those tables, or some of them, once what was made from them is stored elsewhere; how many there were."""
+    known, jvm = _cuts.get(spark.sparkContext.applicationId, []), spark.sparkContext._jvm
+    gone = [p for p in known if paths is None or p in paths]
+    for p in gone:
+        known.remove(p)
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return len(paths)
+    return len(gone)
 
 
 def bind(value: Column, body) -> Column:
