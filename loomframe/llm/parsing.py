@@ -37,13 +37,15 @@ from pyspark.sql import functions as F
 from . import docwork
 from .common import cut
 from .exchange import BLOBS, BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, by_bucket, deal, pack, received, received_kinds, runs
-from .textops import PIECE, PLACE_BITS, ROLL, ROLL_2, mix, pieces, ragged, text_bytes, window_owner
+from .textops import PLACE_BITS, ROLL, ROLL_2, mix, pieces, ragged, text_bytes, window_owner
 
 MATCH = 100
 #: Bytes that the trigger hash covers.
 TRIGGER = 32
 
 LATER, ENTRY = 1, 2
+#: Bytes of text that are parsed at a time.
+PIECE = 1 << 20
 #: Bytes that fit into a first rank.
 PACKED_BYTES = 7
 #: Kinds of rows in the exchange of phrases.
