@@ -12,7 +12,9 @@ similarity of the whole texts. Classes are the connected components of the verif
 
 Scale: equal texts are one node from the start. In a band, each map task links its members of a bucket to one of them and sends
 only that one on, so a bucket of any size gives one link a member, never all pairs. Large families are split by
-further components of the signature, several times over.
+further components of the signature, several times over; what that leaves apart is closed block by block: every pair of
+blocks is a unit of its own, in which candidates between different components are verified until none is left that
+joins two of them. That is quadratic in the size of a large family.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ COMPONENTS, BANDS, ROWS = 256, 32, 4
 BLOCK = 4096
 #: A larger family is dealt anew by two further components, so often.
 RESPLITS = 16
+#: Texts in a block of a family that is closed, about.
+CLOSE_BLOCK = 256
 NULL_ID = -(1 << 63)
 
 
@@ -83,6 +87,10 @@ def signatures(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int,
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact probability Jaccard similarity of two weighted sets (sorted hashes, weights)."""
+    if len(a[0]) and len(b[0]) and (a[1] == 1).all() and (b[1] == 1).all():
+        both = np.sort(np.concatenate([a[0], b[0]]))
+        shared = np.count_nonzero(both[1:] == both[:-1])
+        return float(shared / (len(both) - shared))
     keys = np.union1d(a[0], b[0])
     if not len(keys):
         return 1.0
@@ -217,18 +225,21 @@ def _trees(least: float):
     return run
 
 
+def _sets(texts: pa.Array, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The weighted set of each text, as similarity() takes it."""
+    data, offsets = text_bytes(texts)
+    own = []
+    for a, b in pieces(offsets, PIECE):
+        row, key, weight = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
+        edges = np.searchsorted(row, np.arange(b - a + 1))
+        own += [(key[x:y].copy(), weight[x:y].astype(np.int32)) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+    return own
+
+
 def _verified(size: int, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for column in (2, 3):
-                data, offsets = text_bytes(batch.column(column))
-                own = []
-                for a, b in pieces(offsets, PIECE):
-                    row, key, weight = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                    edges = np.searchsorted(row, np.arange(b - a + 1))
-                    own += [(key[x:y], weight[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-                sets.append(own)
+            sets = [_sets(batch.column(column), size) for column in (2, 3)]
             alike = [similarity(a, b) for a, b in zip(*sets, strict=True)]
             keep = pa.array([x >= threshold - 1e-12 for x in alike], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
@@ -236,6 +247,70 @@ def _verified(size: int, threshold: float):
     return run
 
 
+def joining_links(sig: np.ndarray, part: np.ndarray, block: np.ndarray, sets: list, least: float, threshold: float) -> list[tuple[int, int, float]]:
+    """Verified links that join different parts, best estimates first, until no candidate is left between two of them.
+
+    ``part``: what is known to be connected already. Where there are two blocks, only pairs across them are candidates: the
+    pairs inside a block have a unit of their own.
+    """
+    up = {int(p): int(p) for p in part}
+
+    def top(p: int) -> int:
+        while up[p] != p:
+            up[p] = up[up[p]]
+            p = up[p]
+        return p
+
+    left, right, alike = [], [], []
+    across = (block != block[0]).any()
+    for i in range(len(sig)):
+        others = np.flatnonzero((part[i + 1 :] != part[i]) & ((block[i + 1 :] != block[i]) | (not across))) + i + 1
+        found = (sig[others] == sig[i]).mean(axis=1)
+        near = found >= least
+        left.append(np.full(int(near.sum()), i))
+        right.append(others[near])
+        alike.append(found[near])
+    left, right, alike = (np.concatenate(c) for c in (left, right, alike))
+    out = []
+    for k in np.argsort(-alike, kind="stable").tolist():
+        a, b = int(left[k]), int(right[k])
+        one, two = top(int(part[a])), top(int(part[b]))
+        if one != two and (exact := similarity(sets[a], sets[b])) >= threshold - 1e-12:
+            up[one] = two
+            out.append((a, b, exact))
+    return out
+
+
+def _closed(size: int, least: float, threshold: float):
+    """Links between components of each unit (a family, or a pair of its blocks); rows come sorted by unit."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows, sets = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            node, part, block = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+            links = joining_links(np.stack([r[3] for r in rows]), part, block, sets, least, threshold)
+            if links:
+                a, b = (node[[x[k] for x in links]] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([x[2] for x in links], pa.float64())], names=["a", "b", "similarity"])
+
+        for batch in batches:
+            data, _ = text_bytes(batch.column(4))
+            sig = np.frombuffer(data.tobytes(), np.uint16).reshape(batch.num_rows, -1)
+            own = _sets(batch.column(5), size)
+            for k, (u, *r) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
+                if u != unit:
+                    if rows:
+                        yield from close()
+                    unit, rows, sets = u, [], []
+                rows.append((*r, sig[k]))
+                sets.append(own[k])
+        if rows:
+            yield from close()
+
+    return run
+
+
 def _nodes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("k_doc"), F.xxhash64(text).alias("node"), text.alias("text"))
@@ -265,7 +340,18 @@ def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     bodies = cut(docs.join(chosen, ["node", "k_doc"]).select("node", "text").dropDuplicates(["node"]), "bodies")
     both = pairs.join(bodies.toDF("a", "text_a"), "a").join(bodies.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     links = cut(both.mapInArrow(_verified(size, threshold), "a long, b long, similarity double"), "near-links")
-    return rows, links
+    # candidates that no tree held may join what is still apart
+    parts = members.drop("sig").join(components(links.select("a", "b")).toDF("node", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = cut(parts, "parts")
+    apart = parts.groupBy("label").agg(F.min("part").alias("one"), F.max("part").alias("two")).filter("one <> two").select("label")
+    apart = parts.filter(F.col("members") > BLOCK).join(apart, "label", "left_semi")
+    known = docs.join(apart.join(texts, "node"), ["node", "k_doc"]).select("node", "label", "part", "members", "sig", "text").dropDuplicates(["node"])
+    blocks = F.ceil(F.col("members") / CLOSE_BLOCK).cast("int")
+    known = cut(known.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")}), "apart")
+    mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("label", F.least("block", k), F.greatest("block", k)))
+    units = known.select(F.explode(mates).alias("unit"), "node", "part", "block", "sig", "text")
+    more = units.repartition(n, "unit").sortWithinPartitions("unit", "node").mapInArrow(_closed(size, least, threshold), "a long, b long, similarity double")
+    return rows, links.unionByName(cut(more.distinct(), "closing-links"))
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:

@@ -89,6 +89,24 @@ def test_large_families_are_split(spark, monkeypatch):
     assert {r.class_id for r in out} == {0}
 
 
+def test_large_star_is_whole(spark, monkeypatch):
+    """Copies near 0.85 to one base and near 0.73 to each other, with blocks far smaller than the family."""
+    monkeypatch.setattr(nearby, "BLOCK", 8)
+    monkeypatch.setattr(nearby, "CLOSE_BLOCK", 16, raising=False)
+    rng = np.random.default_rng(11)
+    base = [f"w{rng.integers(1 << 40)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 150):
+        own = base.copy()
+        for place in range(10 + int(rng.integers(20)), 300, 65):
+            own[place] = f"v{k}x{place}"
+        rows.append((k, " ".join(own)))
+    own = [frozenset(weights(t)) for _, t in rows]
+    assert all(len(own[0] & x) / len(own[0] | x) >= 0.8 for x in own)
+    out = nearby.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 150 and {r.class_id for r in out} == {0}
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(1 << 40, size=(40, 2))]
