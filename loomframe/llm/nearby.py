@@ -8,13 +8,14 @@ agree in a component with the probability of their probability Jaccard similarit
 Banding: texts that agree in a band of components are candidates, and form loose families. Inside a family the whole signatures are
 compared, and the greatest spanning tree of estimated similarities gives the pairs to verify: texts that a chain of
 links above a threshold connects are connected by such links of the tree. Pairs are verified with the exact probability Jaccard
-similarity of the whole texts. Classes are the connected components of the verified links.
+similarity of the whole texts. Estimates stray, so a family that the verified pairs leave apart is closed: its further
+candidates are verified, best first, until none is left between two components. Classes are the connected components of the
+verified links.
 
 Scale: equal texts are one node from the start. In a band, each map task links its members of a bucket to one of them and sends
 only that one on, so a bucket of any size gives one link a member, never all pairs. Large families are split by
-further components of the signature, several times over; what that leaves apart is closed block by block: every pair of
-blocks is a unit of its own, in which candidates between different components are verified until none is left that
-joins two of them. That is quadratic in the size of a large family.
+further components of the signature, several times over. A large family is closed block by block: every pair of
+blocks is a unit of its own. That is quadratic in the size of a family that is left apart.
 """
 
 from __future__ import annotations
@@ -344,7 +345,7 @@ def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     parts = members.drop("sig").join(components(links.select("a", "b")).toDF("node", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     parts = cut(parts, "parts")
     apart = parts.groupBy("label").agg(F.min("part").alias("one"), F.max("part").alias("two")).filter("one <> two").select("label")
-    apart = parts.filter(F.col("members") > BLOCK).join(apart, "label", "left_semi")
+    apart = parts.join(apart, "label", "left_semi")
     known = docs.join(apart.join(texts, "node"), ["node", "k_doc"]).select("node", "label", "part", "members", "sig", "text").dropDuplicates(["node"])
     blocks = F.ceil(F.col("members") / CLOSE_BLOCK).cast("int")
     known = cut(known.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")}), "apart")

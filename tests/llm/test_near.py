@@ -107,6 +107,31 @@ def test_large_star_is_whole(spark, monkeypatch):
     assert len(out) == 150 and {r.class_id for r in out} == {0}
 
 
+def test_failed_tree_links_are_made_up_for(spark):
+    """Groups of six with similarities spread around the threshold: all that true links connect is one class."""
+    rng = np.random.default_rng(12)
+    rows, least = [], {}
+    for g in range(400):
+        base = [f"w{rng.integers(1 << 40)}" for _ in range(300)]
+        group = []
+        for k in range(6):
+            own = base.copy()
+            for place in rng.choice(300, 3 + int(rng.integers(2)), replace=False):
+                own[place] = f"v{g}x{k}x{place}"
+            group.append((6 * g + k, " ".join(own)))
+        sets = [set(weights(t)) for _, t in group]
+        part = list(range(6))
+        for a, b in combinations(range(6), 2):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                part = [part[a] if p == part[b] else p for p in part]
+        for k in range(6):
+            least[6 * g + k] = 6 * g + part.index(part[k])
+        rows += group
+    assert 400 < len(set(least.values())) < 2400
+    out = nearby.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.class_id for r in out} == least
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(1 << 40, size=(40, 2))]
