@@ -39,6 +39,14 @@ def found_blobs(n_buckets: int, doc: np.ndarray, sub: np.ndarray, first: np.ndar
     return blob_rows(bucket_of(mix(doc.astype(np.uint64)), n_buckets), columns)
 
 
+def firsts_and_later(new: np.ndarray, doc: np.ndarray, sub: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each run of equal strings, sorted by document and start, and of the later ones. The same place
+    of the same document, which repeated rows give again, is neither."""
+    k = np.arange(len(new))
+    head = np.maximum.accumulate(np.where(new, k, 0))
+    return k[new], k[~new & ((doc != doc[head]) | (sub != sub[head]) | (at != at[head]))]
+
+
 def _regroup(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns, _ = received(batches)
     if not columns:

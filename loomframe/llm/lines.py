@@ -43,7 +43,9 @@ def _windows(window: int, n: int):
     def earliest(columns: list[np.ndarray]) -> list[pa.RecordBatch]:
         order = np.lexsort(tuple(reversed(columns)))
         columns = [c[order] for c in columns]
-        later = ~runs(columns[0], columns[1])
+        first, again = docwork.firsts_and_later(runs(columns[0], columns[1]), *columns[2:])
+        columns = [c[np.append(first, again)] for c in columns]
+        later = np.repeat([False, True], [len(first), len(again)])
         return [blob_rows(np.where(later, bucket_of(mix(columns[2].astype(np.uint64)), n), bucket_of(columns[0], n)), [later, *columns])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +74,8 @@ def _later(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
     passed, key, check, doc, sub, at = columns
     order = np.lexsort((at, sub, doc, check, key))
     order = order[~passed[order]]
-    later = np.concatenate([np.flatnonzero(passed), order[~runs(key[order], check[order])]])
+    _, again = docwork.firsts_and_later(runs(key[order], check[order]), doc[order], sub[order], at[order])
+    later = np.concatenate([np.flatnonzero(passed), order[again]])
     if len(later):
         yield docwork.found_blobs(n, doc[later], sub[later], at[later])
 

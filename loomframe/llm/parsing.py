@@ -77,6 +77,8 @@ def _parse(match: int, trigger: int, n: int):
         key, phrase, doc, sub, first, count = columns
         order = np.lexsort((first, sub, doc, count, phrase, key))
         key, phrase, doc, sub, first, count = (c[order] for c in columns)
+        kept = np.sort(np.concatenate(docwork.firsts_and_later(runs(key, phrase, count), doc, sub, first)))
+        key, phrase, doc, sub, first, count = (c[kept] for c in (key, phrase, doc, sub, first, count))
         new = runs(key, phrase, count)
         kind = np.where(new, _PLAIN, _LATER).astype(np.int8)
         by_key = runs(key)
@@ -114,8 +116,9 @@ def _dictionary(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.Record
     order = np.lexsort((first, sub, doc, count, phrase, key))
     order = order[(kind[order] == _PLAIN) | (kind[order] == _HOT)]
     new = runs(key[order], phrase[order], count[order])
-    later = np.concatenate([np.flatnonzero(kind == _LATER), order[~new]])
-    entries = order[new]
+    firsts, again = docwork.firsts_and_later(new, doc[order], sub[order], first[order])
+    later = np.concatenate([np.flatnonzero(kind == _LATER), order[again]])
+    entries = order[firsts]
     group = np.cumsum(runs(key[entries])) - 1
     shared = np.bincount(group, minlength=1)[group] if len(entries) else group
     hot = np.isin(key[entries], marked) | (shared > HOT_BUCKET)
@@ -130,7 +133,9 @@ def _entries(match: int, n: int):
     def earliest(columns: list[np.ndarray]) -> list[pa.RecordBatch]:
         order = np.lexsort(tuple(reversed(columns)))
         columns = [c[order] for c in columns]
-        later = ~runs(columns[0], columns[1])
+        first, again = docwork.firsts_and_later(runs(columns[0], columns[1]), *columns[2:])
+        columns = [c[np.append(first, again)] for c in columns]
+        later = np.repeat([False, True], [len(first), len(again)])
         return [blob_rows(np.where(later, bucket_of(mix(columns[2].astype(np.uint64)), n), bucket_of(columns[0], n)), [later, *columns])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +221,8 @@ def _suffix_order(match: int, trigger: int, n: int):
         entry = np.repeat(np.arange(len(count)), count)
         start = first[entry] + (at - (ends - size)[entry])
         order = np.lexsort((start, sub[entry], doc[entry], rank[at]))
-        later = order[~runs(rank[at][order])]
+        _, again = docwork.firsts_and_later(runs(rank[at][order]), doc[entry][order], sub[entry][order], start[order])
+        later = order[again]
         if len(later):
             entry, start = entry[later], start[later]
             yield docwork.found_blobs(n, doc[entry], sub[entry], start, 1, LATER)
@@ -227,7 +233,8 @@ def _suffix_order(match: int, trigger: int, n: int):
             passed, key, check, doc, sub, at = found[6]
             order = np.lexsort((at, sub, doc, check, key))
             order = order[~passed[order]]
-            later = np.concatenate([np.flatnonzero(passed), order[~runs(key[order], check[order])]])
+            _, again = docwork.firsts_and_later(runs(key[order], check[order]), doc[order], sub[order], at[order])
+            later = np.concatenate([np.flatnonzero(passed), order[again]])
             if len(later):
                 yield docwork.found_blobs(n, doc[later], sub[later], at[later], 1, LATER)
         if 5 not in found:

@@ -89,6 +89,25 @@ def test_bytes_odd(odd, none):
         parsing.remove_repeated_bytes(none, match=10, trigger=10)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize("hot", [64, 0])
+def test_repeated_rows_are_one_document(spark, parts, hot, monkeypatch):
+    """In one map task and in several, each repeated row gets what its single row gets; null ids too."""
+    monkeypatch.setattr(parsing, "HOT_LOCAL", hot)
+    rng = np.random.default_rng(5)
+    line = lambda: " ".join(f"w{k}" for k in rng.integers(1 << 30, size=6))
+    shared = "\n".join(line() for _ in range(5))
+    texts = ["\n".join([line(), line(), shared, line(), *[shared] * (k % 2), line(), line()]) for k in range(6)]
+    single = [(None, texts[0]), *enumerate(texts[1:], 1)]
+    repeated = [r for r in single for _ in range(3)]
+    one, many = (spark.createDataFrame(r, "doc_id long, text string").repartition(parts) for r in (single, repeated))
+    for run in (parsing.remove_repeated_bytes, lines.remove_repeated_lines):
+        expected = [tuple(r) for r in run(one).collect() for _ in range(3)]
+        assert sorted(map(repr, (tuple(r) for r in run(many).collect()))) == sorted(map(repr, expected))
+    found = {r.doc_id: r for r in lines.remove_repeated_lines(many).collect()}
+    assert found[None].n_removed == 0 and found[1].n_removed == 10 and found[2].n_removed == 5
+
+
 @pytest.mark.parametrize("window, period, cover", [(35, 21, (3, 6, 7, 12, 14)), (9, 7, (1, 2, 4))])
 def test_words(docs, rows, window, period, cover):
     found = substrings.remove_repeated_windows(docs, window=window, period=period, cover=cover).collect()
