@@ -46,6 +46,28 @@ def test_outliers(spark):
     assert not any(k >= 1000 for k in kept) and len(kept) >= 396
 
 
+def test_each_statistic_rejects(spark):
+    """One planted outlier for each statistic, usual in the other four."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 9))))
+    lined = lambda w: "\n".join(" ".join(w[i : i + 10]) for i in range(0, len(w), 10))
+    usual = lambda n: [word() for _ in range(n)]
+    rows = [(k, lined(usual(int(rng.integers(120, 240))))) for k in range(300)]
+    phrase = usual(40)
+    planted = {
+        1000: lined(usual(20_000)),
+        1001: lined([w[:1] for w in usual(40)] + [w[:2] for w in usual(140)]),
+        1002: lined([w + "#" for w in usual(180)]),
+        1003: "\n".join(x for _ in range(12) for x in (" ".join(usual(12)), "same line")),
+        1004: lined(usual(50) + phrase + usual(47) + phrase + usual(3)),
+    }
+    own = {k: counted(t) for k, t in planted.items()}
+    assert not any(c[5] for c in own.values()) and own[1003][3:5] == (11, 0) and own[1004][3:5] == (0, 80)
+    out = quality.quality(spark.createDataFrame([(*r, "en", "s") for r in [*rows, *planted.items()]], "doc_id long, text string, lang string, source string")).collect()
+    kept = {r.doc_id for r in out if r.kept}
+    assert not kept & planted.keys() and len(kept) >= 298
+
+
 def test_quality_odd(odd, none):
     assert quality.quality(odd).count() == odd.count() and quality.quality(none).count() == 0
     good = quality.good_documents(odd)
