@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import word_count
-from .textops import PIECE, ROLL, U64, mix, pieces, text_bytes, word_spans
+from .textops import U64, mix, pieces, span_hashes, text_bytes, word_spans
 
 #: Masks of weight 6.
 MASKS = ("1111011", "110110101", "1010011011", "11100101001")
@@ -40,7 +40,7 @@ def plain_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     """For pieces of a text column: first and last row, word hashes, and each row's first word (one more than
     rows). Words are in lower case, without ASCII punctuation at either end; words of nothing else don't count."""
     data, offsets = text_bytes(pc.utf8_lower(column))
-    for a, b in pieces(offsets, PIECE):
+    for a, b in pieces(offsets):
         part, edges = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, first = word_spans(part, edges)
         left = np.arange(len(starts))
@@ -51,7 +51,7 @@ def plain_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
             ends[left] -= 1
         full = starts < ends
         first = np.append(0, np.cumsum(full))[first]
-        yield a, b, ROLL.hashes(ROLL.sums(part), starts[full], ends[full]), first
+        yield a, b, span_hashes(part, starts[full], ends[full], 1)[0], first
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:

@@ -91,11 +91,3 @@ def flat_spans(column: pa.Array, names: Sequence[str]) -> tuple[np.ndarray, list
         x = fields[name]
         out.append(x.flatten().to_numpy(zero_copy_only=False) if pa.types.is_list(x.type) else np.repeat(x.to_numpy(zero_copy_only=False), lengths))
     return rows, out
-
-
-def spread(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """Which of ``size`` places are in a span [start, end)."""
-    step = np.zeros(size + 1, dtype=np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, ends, -1)
-    return np.cumsum(step[:-1]) > 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from . import docwork
 from .common import cut
 from .exchange import BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, deal, received, runs
-from .textops import PIECE, ROLL, ROLL_WORDS, ROLL_WORDS_2, mix, pieces, ragged, text_bytes
+from .textops import covered, kept_spans, mix, pieces, ragged, span_hashes, text_bytes, window_hashes
 
 WINDOW = 3
 
@@ -53,14 +53,14 @@ def _windows(window: int, n: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for a, b in pieces(offsets, PIECE):
+            for a, b in pieces(offsets):
                 part = data[offsets[a] : offsets[b]]
                 starts, ends, first = line_spans(part, offsets[a : b + 1] - offsets[a])
-                h = ROLL.hashes(ROLL.sums(part), starts, ends)
+                hashes = span_hashes(part, starts, ends)
                 fits = np.maximum(np.diff(first) - window + 1, 0)
                 row = np.repeat(np.arange(b - a), fits)
                 at = ragged(np.zeros(b - a, np.int64), fits)
-                keys = [r.windows(r.sums(h), window)[first[row] + at] if len(at) else np.empty(0, np.uint64) for r in (ROLL_WORDS, ROLL_WORDS_2)]
+                keys = [window_hashes(h, window, v)[first[row] + at] if len(at) else np.empty(0, np.uint64) for v, h in enumerate(hashes)]
                 yield from gather.add([keys[0], (keys[1] >> np.uint64(32)).astype(np.uint32), docs[a:b][row], subs[a:b][row], at.astype(np.int32)])
         yield from gather.end()
 
@@ -86,22 +86,18 @@ def _kept(window: int):
             data, offsets = text_bytes(batch.column(2))
             rows, (at,) = docwork.flat_spans(batch.column(3), ["first"])
             n_lines, n_removed, texts = [], [], []
-            for a, b in pieces(offsets, PIECE):
-                part = data[offsets[a] : offsets[b]]
-                starts, ends, first = line_spans(part, offsets[a : b + 1] - offsets[a])
+            for a, b in pieces(offsets):
+                part, edges = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                starts, ends, first = line_spans(part, edges)
                 here = slice(*np.searchsorted(rows, [a, b]))
                 begin = first[rows[here] - a] + at[here]
-                keep = np.flatnonzero(~docwork.spread(begin, begin + window, len(starts)))
-                size = ends[keep] - starts[keep] + 1
-                joined = np.append(part, np.uint8(10))[ragged(starts[keep], size)]
-                stops = np.append(0, np.cumsum(size))
-                joined[stops[1:] - 1] = 10
-                edge = np.searchsorted(keep, first)
+                gone = covered(begin, begin + window, len(starts))
+                removed = np.append(0, np.cumsum(gone))[first]
+                joined, stops = kept_spans(part, edges, first, starts, ends, ~gone, 10)
                 for k in range(b - a):
-                    lo, hi = edge[k], edge[k + 1]
                     n_lines.append(int(first[k + 1] - first[k]))
-                    n_removed.append(int(first[k + 1] - first[k] - (hi - lo)))
-                    texts.append(joined[stops[lo] : stops[hi] - 1].tobytes().decode() if hi > lo else "")
+                    n_removed.append(int(removed[k + 1] - removed[k]))
+                    texts.append(joined[stops[k] : max(stops[k], stops[k + 1] - 1)].tobytes().decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], names=["k_doc", "n_lines", "n_removed", "text"])
 
     return run
@@ -113,7 +109,8 @@ def remove_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Lines are split at line feeds and compared whole, blank ones too. Earlier: a smaller id (a null id is the least; of equal
     ids, the text of smaller hash), or earlier in the document. Null text is one empty line. Texts of fewer lines than a
     window are kept whole. Repeated rows (same id and text) are one document: each such row is judged like the
-    first. An empty table gives an empty result; other columns aren't read.
+    first. A text of any length is one document, and needs some ten times its bytes in one Python worker. An empty table
+    gives an empty result; other columns aren't read.
     """
     n = buckets(df)
     docs = docwork.keyed(df, id_col, text_col)

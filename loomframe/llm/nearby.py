@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .exchange import BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, deal, received, runs
 from .graph import components
-from .textops import PIECE, ROLL, ROLL_WORDS, U64, mix, pieces, ragged, text_bytes, word_spans
+from .textops import U64, mix, pieces, ragged, span_hashes, text_bytes, window_hashes, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -49,13 +49,16 @@ NULL_ID = -(1 << 63)
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of rows: row, hash, weight; sorted. A row with fewer words has one shingle of all its words, a row without words none."""
     starts, ends, first = word_spans(data, offsets)
-    h = ROLL.hashes(ROLL.sums(data), starts, ends)
+    (h,) = span_hashes(data, starts, ends, 1)
     words = np.diff(first)
     count = np.where(words >= size, words - size + 1, (words > 0).astype(np.int64))
     row = np.repeat(np.arange(len(words)), count)
     at = first[row] + ragged(np.zeros(len(words), np.int64), count)
-    sums = ROLL_WORDS.sums(h)
-    key = ROLL_WORDS.hashes(sums, at, np.minimum(at + size, first[row + 1]))
+    key = np.empty(len(at), dtype=U64)
+    for width in range(1, size + 1):
+        whole = (np.minimum(words, size) == width)[row]
+        if whole.any():
+            key[whole] = window_hashes(h, width)[at[whole]] + U64(width)
     order = np.lexsort((key, row))
     row, key = row[order], key[order]
     new = np.flatnonzero(runs(row, key))
@@ -115,7 +118,7 @@ def _signed(size: int, m: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            for a, b in pieces(offsets, PIECE):
+            for a, b in pieces(offsets):
                 found = signatures(*shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size), b - a, m)
                 raw = pa.Array.from_buffers(pa.binary(2 * m), b - a, [None, pa.py_buffer(np.ascontiguousarray(found))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], raw], names=["k_doc", "node", "sig"])
@@ -230,7 +233,7 @@ def _sets(texts: pa.Array, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The weighted set of each text, as similarity() takes it."""
     data, offsets = text_bytes(texts)
     own = []
-    for a, b in pieces(offsets, PIECE):
+    for a, b in pieces(offsets):
         row, key, weight = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
         edges = np.searchsorted(row, np.arange(b - a + 1))
         own += [(key[x:y].copy(), weight[x:y].astype(np.int32)) for x, y in zip(edges[:-1], edges[1:], strict=True)]

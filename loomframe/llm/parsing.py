@@ -9,19 +9,21 @@ one phrase.
 Dictionary. Phrases are dealt by the hash at their trigger, equal ones are combined, and the first in
 corpus order is the dictionary's entry. All strings in any later occurrence start earlier, in the entry.
 
-Suffix array. Only entries that share a trigger hash with another entry can share a string with it. Their
-bytes are sent to the trigger's bucket, where the suffix array of that part of the dictionary is built by prefix
-doubling up to the match length. Strings with equal prefixes are neighbours in it; of these the
-first in corpus order stays, the others start earlier too.
+Suffix arrays. Only entries that share a trigger with another entry can share a string with it. Their bytes are sent to
+the trigger's bucket. A string is a suffix of the phrase that ends with the trigger, and what the parse goes on with. So
+the bucket orders its part of the dictionary, the suffixes up to the trigger, and its part of the parse, what follows
+the trigger; the lengths of neighbours' common parts give, for any length, the class of equal ones. A string's two classes
+combined say which strings are equal; of these the first in corpus order stays, the others start earlier too.
 
-Hot triggers. A short common line gives one trigger hash to as many different phrases as there are documents that
+Hot triggers. A short common line gives one trigger to as many different phrases as there are documents that
 hold it. A map task that sees many phrases for a trigger deals them by phrase hash instead, and tells the trigger's
-bucket; all entries of such a trigger are then told apart by the hashes of their strings, dealt by
+bucket; all entries of such a trigger are then told apart by 128 bits of hash of their strings, dealt by
 those hashes and combined in the map tasks. No entry is left out.
 
 Scale: only hashes of phrases travel, one a 35 bytes of text or so, packed; later occurrences in the same map
 task are decided there, so a passage that a third of the corpus holds reaches its bucket once a task. Texts are dealt
-by document once, and used for the entries and for the result.
+by document once, and used for the entries and for the result. A long text is parsed a stretch at a time; a phrase that
+is cut shares its trigger with the whole one, and so meets it.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from . import docwork
 from .common import cut
 from .exchange import BLOBS, BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, by_bucket, deal, pack, received, received_kinds, runs
-from .textops import PLACE_BITS, ROLL, ROLL_2, mix, pieces, ragged, text_bytes, window_owner
+from .textops import PLACE_BITS, ROLL, covered, mix, pieces, ragged, span_hashes, text_bytes, window_owner
 
 MATCH = 100
 #: Bytes that the trigger hash covers.
@@ -46,8 +48,6 @@ TRIGGER = 32
 LATER, ENTRY = 1, 2
 #: Bytes of text that are parsed at a time.
 PIECE = 1 << 20
-#: Bytes that fit into a first rank.
-PACKED_BYTES = 7
 #: Kinds of rows in the exchange of phrases.
 _PLAIN, _LATER, _HOT, _MARK = 0, 1, 2, 3
 #: A trigger is hot if a map task has more phrases for it at a flush, or a bucket more entries.
@@ -55,12 +55,12 @@ HOT_LOCAL, HOT_BUCKET = 64, 20_000
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, match: int, trigger: int) -> tuple[np.ndarray, ...]:
-    """Row, first string's start, number of strings, trigger hash and phrase hash of each phrase of the rows."""
+    """Row, first string's start, number of strings, trigger hash, phrase hash and a check of it, of each phrase of the rows."""
     n = len(data) - match + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    hashes = ROLL.windows(ROLL.sums(data), trigger)
+        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(np.uint32)
+    hashes = ROLL.windows(data, trigger)
     owner = window_owner(hashes, match - trigger + 1)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
     inside = np.arange(n) + match <= offsets[row + 1]
@@ -69,17 +69,29 @@ def phrases(data: np.ndarray, offsets: np.ndarray, match: int, trigger: int) ->
     final = np.append(new[1:] | ~inside[1:], True) & inside
     count = np.flatnonzero(final) - start + 1
     row = row[start]
-    return row, start - offsets[row], count, hashes[owner[start]], ROLL_2.hashes(ROLL_2.sums(data), start, start + count + match - 1)
+    phrase, check = span_hashes(data, start, start + count + match - 1)
+    return row, start - offsets[row], count, hashes[owner[start]], phrase, (check >> np.uint64(32)).astype(np.uint32)
+
+
+def stretches(offsets: np.ndarray, match: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Parts of the texts of about PIECE bytes: first and last row, first byte and where rows begin in it; a long text gives several, with
+    the strings that cross their edges in the earlier one."""
+    for a, b in pieces(offsets, PIECE):
+        size = int(offsets[b] - offsets[a])
+        if size <= PIECE:
+            yield a, b, int(offsets[a]), offsets[a : b + 1] - offsets[a]
+        else:
+            for at in range(0, size, PIECE):
+                yield a, b, int(offsets[a]) + at, np.array([0, min(size - at, PIECE + match - 1)])
 
 
 def _parse(match: int, trigger: int, n: int):
     def combined(columns: list[np.ndarray]) -> list[pa.RecordBatch]:
-        key, phrase, doc, sub, first, count = columns
-        order = np.lexsort((first, sub, doc, count, phrase, key))
-        key, phrase, doc, sub, first, count = (c[order] for c in columns)
-        kept = np.sort(np.concatenate(docwork.firsts_and_later(runs(key, phrase, count), doc, sub, first)))
-        key, phrase, doc, sub, first, count = (c[kept] for c in (key, phrase, doc, sub, first, count))
-        new = runs(key, phrase, count)
+        order = np.lexsort(tuple(columns[i] for i in (5, 4, 3, 6, 2, 1, 0)))
+        key, phrase, check, doc, sub, first, count = (c[order] for c in columns)
+        kept = np.sort(np.concatenate(docwork.firsts_and_later(runs(key, phrase, check, count), doc, sub, first)))
+        key, phrase, check, doc, sub, first, count = (c[kept] for c in (key, phrase, check, doc, sub, first, count))
+        new = runs(key, phrase, check, count)
         kind = np.where(new, _PLAIN, _LATER).astype(np.int8)
         by_key = runs(key)
         group = np.cumsum(by_key) - 1
@@ -91,16 +103,17 @@ def _parse(match: int, trigger: int, n: int):
         mark = np.flatnonzero(by_key)[hot]
         rows = np.append(np.arange(len(key)), mark)
         kind, bucket = np.append(kind, np.full(len(mark), _MARK, np.int8)), np.append(bucket, home[mark])
-        return [blob_rows(bucket, [kind, *(c[rows] for c in (key, phrase, doc, sub, first, count))])]
+        return [blob_rows(bucket, [kind, *(c[rows] for c in (key, phrase, check, doc, sub, first, count))])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = Gather(combined)
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for a, b in pieces(offsets, PIECE):
-                row, first, count, key, phrase = phrases(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], match, trigger)
-                yield from gather.add([key, phrase, docs[a:b][row], subs[a:b][row], first.astype(np.int32), count.astype(np.uint8 if match <= 256 else np.int32)])
+            for a, b, lo, edges in stretches(offsets, match):
+                row, first, count, key, phrase, check = phrases(data[lo : lo + edges[-1]], edges, match, trigger)
+                first += lo - offsets[a]
+                yield from gather.add([key, phrase, check, docs[a:b][row], subs[a:b][row], first.astype(np.int32), count.astype(np.uint8 if match <= 256 else np.int32)])
         yield from gather.end()
 
     return run
@@ -111,11 +124,11 @@ def _dictionary(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.Record
     columns, bucket = received(batches)
     if not columns:
         return
-    kind, key, phrase, doc, sub, first, count = columns
+    kind, key, phrase, check, doc, sub, first, count = columns
     marked = np.unique(key[kind >= _HOT])
-    order = np.lexsort((first, sub, doc, count, phrase, key))
+    order = np.lexsort((first, sub, doc, count, check, phrase, key))
     order = order[(kind[order] == _PLAIN) | (kind[order] == _HOT)]
-    new = runs(key[order], phrase[order], count[order])
+    new = runs(key[order], phrase[order], check[order], count[order])
     firsts, again = docwork.firsts_and_later(new, doc[order], sub[order], first[order])
     later = np.concatenate([np.flatnonzero(kind == _LATER), order[again]])
     entries = order[firsts]
@@ -160,73 +173,67 @@ def _entries(match: int, n: int):
                     continue
                 part = data[offsets[a] : offsets[b]]
                 start, row = ragged(offsets[row] - offsets[a] + at, size), np.repeat(row, size)
-                keys = [r.windows(r.sums(part), match)[start] for r in (ROLL, ROLL_2)]
-                yield from gather.add([keys[0], (keys[1] >> np.uint64(32)).astype(np.uint32), docs[row], subs[row], (start + offsets[a] - offsets[row]).astype(np.int32)])
+                yield from gather.add([*span_hashes(part, start, start + match), docs[row], subs[row], (start + offsets[a] - offsets[row]).astype(np.int32)])
         yield from gather.end()
 
     return run
 
 
-def suffix_ranks(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """The suffix array's ranks by the first ``depth`` bytes: equal ranks for equal prefixes. ``ends``: where the
-    string that each place is in ends; shorter suffixes get ranks below all they are prefixes of."""
-    n = len(text)
-    place = np.arange(n)
-    room = ends - place
-    packed = np.zeros(n, dtype=np.int64)
-    width = min(PACKED_BYTES, depth)
-    for k in range(width):
-        packed *= 257
-        left = max(0, n - k)
-        packed[:left] += np.where(room[:left] > k, text[k:].astype(np.int64) + 1, 0)
-    order = np.argsort(packed)
-    rank, open_ = _ranked(order, runs(packed[order]), np.zeros(n, np.int64), order)
-    while width < depth and len(open_):
-        # only places that share their rank are told further apart; a rank is the number of lesser suffixes
-        step = min(width, depth - width)
-        follow = np.where(room[open_] > step, rank[np.minimum(open_ + step, n - 1)] + 1, 0)
-        both = rank[open_] * (n + 1) + follow
-        order = np.argsort(both)
-        sorted_open = open_[order]
-        rank, open_ = _ranked(sorted_open, runs(both[order]), rank[sorted_open], rank)
-        width += step
-    return rank
-
-
-def _ranked(places: np.ndarray, new: np.ndarray, base: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of sorted places: their group's ``base``, and how many of the group stand before the first equal one; and the
-    places that share a rank."""
-    at = np.arange(len(places))
-    groups = runs(base)
-    head = np.maximum.accumulate(np.where(groups, at, 0))
-    equal = np.maximum.accumulate(np.where(new, at, 0))
-    out = rank.copy()
-    out[places] = base + equal - head
-    single = new & np.append(new[1:], True)
-    return out, places[~single]
-
-
-#: Bytes of dictionary for which one suffix array is built.
+def common_lengths(strings: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many bytes each string has in common with the one before it in ``order``. ``strings``: a row each; ``ends``: their lengths."""
+    out = np.zeros(len(order), dtype=np.int64)
+    one, two = strings[order[1:]], strings[order[:-1]]
+    differ = one != two
+    out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), strings.shape[1])
+    return np.minimum(out, np.minimum(ends[order], np.append(0, ends[order[:-1]])))
+
+
+def sorted_rows(strings: np.ndarray) -> np.ndarray:
+    """The order of the rows of bytes."""
+    wide = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), dtype=np.uint8)
+    wide[:, : strings.shape[1]] = strings
+    return np.lexsort(wide.view(">u8").astype(np.uint64).T[::-1])
+
+
+def later_strings(text: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray, rank: np.ndarray, match: int, trigger: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entry, and start in it, of each string that an entry of lesser ``rank`` has too, or the same entry earlier.
+
+    Entries are text[begin : begin + size]; ``at``: where their trigger is. No string is twice in an entry with its
+    trigger at the same place, so a string is known by its entry and the bytes it has before the trigger.
+    """
+    n, side = len(begin), match - trigger
+    step = np.arange(match)
+    # up to the trigger's end, read backwards; and what follows the trigger
+    head, tail = np.minimum(at, side) + trigger, np.minimum(size - at - trigger, side)
+    ends = begin + at + trigger
+    heads = np.where(step < head[:, None], text[np.maximum(ends[:, None] - 1 - step, 0)], 0)
+    tails = np.where(step[:side] < tail[:, None], text[np.minimum(ends[:, None] + step[:side], len(text) - 1)], 0)
+    by_head, by_tail = sorted_rows(heads), sorted_rows(tails)
+    common_head, common_tail = common_lengths(heads, head, by_head), common_lengths(tails, tail, by_tail)
+    by_rank = np.argsort(rank, kind="stable")
+    entry, start = [], []
+    for before in range(side + 1):
+        here = by_rank[((head >= before + trigger) & (tail >= side - before))[by_rank]]
+        if len(here) < 2:
+            continue
+        one, two = np.empty(n, np.int64), np.empty(n, np.int64)
+        one[by_head] = np.cumsum(common_head < before + trigger)
+        two[by_tail] = np.cumsum(common_tail < side - before)
+        both = one[here] * (n + 1) + two[here]
+        order = np.argsort(both, kind="stable")
+        again = here[order[~runs(both[order])]]
+        entry.append(again)
+        start.append(at[again] - before)
+    return (np.concatenate(entry), np.concatenate(start)) if entry else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+#: Bytes of dictionary that are ordered together.
 SUFFIX_BYTES = 1 << 20
 
 
 def _suffix_order(match: int, trigger: int, n: int):
     """Strings of the entries that start earlier in another entry."""
 
-    def judged(doc, sub, first, count, text) -> Iterator[pa.RecordBatch]:
-        size = count.astype(np.int64) + match - 1
-        ends = np.cumsum(size)
-        rank = suffix_ranks(text, np.repeat(ends, size), match)
-        at = ragged(ends - size, count.astype(np.int64))
-        entry = np.repeat(np.arange(len(count)), count)
-        start = first[entry] + (at - (ends - size)[entry])
-        order = np.lexsort((start, sub[entry], doc[entry], rank[at]))
-        _, again = docwork.firsts_and_later(runs(rank[at][order]), doc[entry][order], sub[entry][order], start[order])
-        later = order[again]
-        if len(later):
-            entry, start = entry[later], start[later]
-            yield docwork.found_blobs(n, doc[entry], sub[entry], start, 1, LATER)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, _ = received_kinds(batches)
         if 6 in found:
@@ -242,28 +249,36 @@ def _suffix_order(match: int, trigger: int, n: int):
         doc, sub, first, count, text = found[5]
         size = count.astype(np.int64) + match - 1
         begin = np.cumsum(size) - size
-        # strings with a common trigger hash meet; the dictionary part is cut between triggers
-        key = np.empty(len(doc), np.uint64)
+        # strings with a common trigger meet; the dictionary part is cut between triggers
+        key, place = np.empty(len(doc), np.uint64), np.empty(len(doc), np.int64)
         for lo, hi in pieces(np.append(begin, begin[-1] + size[-1]), PIECE):
             part = text[begin[lo] : begin[hi - 1] + size[hi - 1]]
-            hashes = ROLL.windows(ROLL.sums(part), trigger)
+            hashes = ROLL.windows(part, trigger)
             # an entry's trigger is the one place that is the least in the first string
             at = begin[lo:hi] - begin[lo]
-            wide = match - trigger + 1
-            stretch = hashes[at[:, None] + np.arange(wide)]
-            key[lo:hi] = stretch[np.arange(hi - lo), (stretch >> np.uint64(PLACE_BITS)).argmin(axis=1)]
-        order = np.argsort(key, kind="stable")
-        doc, sub, first, count, size, begin, key = (c[order] for c in (doc, sub, first, count, size, begin, key))
-        total = np.cumsum(size)
-        groups = np.append(np.flatnonzero(runs(key)), len(key))
+            stretch = hashes[at[:, None] + np.arange(match - trigger + 1)]
+            place[lo:hi] = (stretch >> np.uint64(PLACE_BITS)).argmin(axis=1)
+            key[lo:hi] = stretch[np.arange(hi - lo), place[lo:hi]]
+        # a string of an entry starts as far before its trigger as an equal string of another entry, so one order serves all.
+        # repeated rows send their entries again
+        by_place = np.lexsort((first, first + place, sub, doc))
+        by_place = by_place[runs(doc[by_place], sub[by_place], first[by_place])]
+        rank = np.empty(len(doc), np.int64)
+        rank[by_place] = np.arange(len(by_place))
+        order = by_place[np.argsort(key[by_place], kind="stable")]
+        total = np.cumsum(size[order])
+        groups = np.append(np.flatnonzero(runs(key[order])), len(order))
         lo = 0
-        while lo < len(key):
+        while lo < len(order):
             # as many whole groups as fit, or one
             done = total[lo - 1] if lo else 0
             fit = int(np.searchsorted(total[groups[1:] - 1], done + SUFFIX_BYTES, side="right"))
             hi = int(groups[max(fit, int(np.searchsorted(groups, lo, side="right")))])
-            piece = text[ragged(begin[lo:hi], size[lo:hi])]
-            yield from judged(doc[lo:hi], sub[lo:hi], first[lo:hi], count[lo:hi], piece)
+            own = order[lo:hi]
+            entry, start = later_strings(text, begin[own], size[own], place[own], rank[own], match, trigger)
+            entry = own[entry]
+            if len(entry):
+                yield docwork.found_blobs(n, doc[entry], sub[entry], first[entry] + start, 1, LATER)
             lo = hi
 
     return run
@@ -282,17 +297,12 @@ def _kept(match: int, with_bytes: bool):
                 part, edges = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 here = slice(*np.searchsorted(rows, [a, b]))
                 begin = edges[rows[here] - a] + first[here]
-                gone = docwork.spread(begin, begin + count[here] + match - 1, len(part))
-                before = np.append(False, gone)[:-1]
-                before[edges[:-1][edges[:-1] < len(part)]] = False
-                spans = np.append(0, np.cumsum(gone & ~before))
-                left = np.append(0, np.cumsum(~gone))
-                kept = part[~gone].tobytes()
+                gone = covered(begin, begin + count[here] + match - 1, len(part))
                 for k in range(b - a):
-                    lo, hi = int(left[edges[k]]), int(left[edges[k + 1]])
-                    size = int(edges[k + 1] - edges[k])
-                    text = kept[lo:hi]
-                    for column, value in zip(out, (size, size - (hi - lo), int(spans[edges[k + 1]] - spans[edges[k]]), hashlib.sha256(text).hexdigest(), text if with_bytes else None), strict=True):
+                    own = gone[edges[k] : edges[k + 1]]
+                    text = part[edges[k] : edges[k + 1]][~own].tobytes()
+                    n_spans = int(np.count_nonzero(own[1:] & ~own[:-1]) + own[:1].sum())
+                    for column, value in zip(out, (len(own), len(own) - len(text), n_spans, hashlib.sha256(text).hexdigest(), text if with_bytes else None), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], names=["k_doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
@@ -306,7 +316,8 @@ def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str =
     A byte goes if it is in a string of ``match`` bytes that also starts earlier: in a document of smaller id (a
     null id is the least; of equal ids, that of the smaller text hash), or earlier in its document. Null text is
     empty. Repeated rows (same id and text) are one document: each such row is judged like the first. Texts
-    shorter than ``match`` are kept whole. An empty table gives an empty result; other columns aren't read.
+    shorter than ``match`` are kept whole. A text of any length is one document, parsed a stretch at a time; its result needs
+    some six times its bytes in one Python worker. An empty table gives an empty result; other columns aren't read.
     """
     if not 0 < trigger < match:
         raise ValueError("the trigger must be shorter than the match")

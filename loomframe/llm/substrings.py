@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import docwork
 from .common import cut
 from .exchange import BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, deal, received, runs
-from .textops import PIECE, ROLL, ROLL_WORDS, ROLL_WORDS_2, mix, pieces, ragged, text_bytes, word_spans
+from .textops import covered, kept_spans, mix, pieces, ragged, span_hashes, text_bytes, window_hashes, word_spans
 
 WINDOW = 35
 #: A perfect difference set: every difference modulo 21 is one of two members.
@@ -36,9 +36,9 @@ def check_cover(period: int, cover: tuple[int, ...]) -> None:
         raise ValueError("not a difference cover: some difference is missing")
 
 
-def _hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _hashed_words(data: np.ndarray, offsets: np.ndarray, variants: int) -> tuple[list[np.ndarray], np.ndarray]:
     starts, ends, first = word_spans(data, offsets)
-    return ROLL.hashes(ROLL.sums(data), starts, ends), first, starts, ends
+    return span_hashes(data, starts, ends, variants), first
 
 
 def _combined(columns: list[np.ndarray], n_keys: int, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -78,15 +78,15 @@ def _anchors(window: int, period: int, cover: tuple[int, ...], n: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for a, b in pieces(offsets, PIECE):
-                h, first, _, _ = _hashed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b in pieces(offsets):
+                (h,), first = _hashed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 1)
                 words = np.diff(first)
                 fits = np.where(words >= window, words - width + 1, 0)
                 row = np.repeat(np.arange(b - a), fits)
                 at = ragged(np.zeros(b - a, dtype=np.int64), fits)
                 chosen = on[at % period]
                 row, at = row[chosen], at[chosen]
-                key = ROLL_WORDS.windows(ROLL_WORDS.sums(h), width)[first[row] + at] if len(at) else np.empty(0, np.uint64)
+                key = window_hashes(h, width)[first[row] + at] if len(at) else np.empty(0, np.uint64)
                 yield from gather.add([key, docs[a:b][row], subs[a:b][row], at.astype(np.int32)])
         yield from gather.end()
 
@@ -100,16 +100,16 @@ def _windows(window: int, period: int, n: int):
             data, offsets = text_bytes(batch.column(2))
             docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             rows, (anchor,) = docwork.flat_spans(batch.column(3), ["first"])
-            for a, b in pieces(offsets, PIECE):
-                h, first, _, _ = _hashed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b in pieces(offsets):
+                hashes, first = _hashed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 2)
                 here = slice(*np.searchsorted(rows, [a, b]))
                 row, x = rows[here] - a, anchor[here].astype(np.int64)
                 last = first[row + 1] - first[row] - window
                 low, high = np.maximum(x - period + 1, 0), np.minimum(x, last)
-                near = docwork.spread(first[row] + low, first[row] + high + 1, len(h))
+                near = covered(first[row] + low, first[row] + high + 1, len(hashes[0]))
                 at = np.flatnonzero(near)
                 row = np.searchsorted(first, at, side="right") - 1
-                keys = [r.windows(r.sums(h), window)[at] if len(at) else np.empty(0, np.uint64) for r in (ROLL_WORDS, ROLL_WORDS_2)]
+                keys = [window_hashes(h, window, v)[at] if len(at) else np.empty(0, np.uint64) for v, h in enumerate(hashes)]
                 check = (keys[1] >> np.uint64(32)).astype(np.uint32)
                 yield from gather.add([keys[0], check, docs[a:b][row], subs[a:b][row], (at - first[row]).astype(np.int32)])
         yield from gather.end()
@@ -126,25 +126,18 @@ def _kept(window: int, with_text: bool):
             data, offsets = text_bytes(batch.column(2))
             rows, (at,) = docwork.flat_spans(batch.column(3), ["first"])
             out: list[list] = [[], [], [], []]
-            for a, b in pieces(offsets, PIECE):
+            for a, b in pieces(offsets):
                 part, edges = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, first = word_spans(part, edges)
                 here = slice(*np.searchsorted(rows, [a, b]))
                 begin = first[rows[here] - a] + at[here]
-                gone = docwork.spread(begin, begin + window, len(starts))
-                keep = np.flatnonzero(~gone)
-                # each kept word with one more byte, then turned into a space
-                size = ends[keep] - starts[keep] + 1
-                joined = np.append(part, np.uint8(32))[ragged(starts[keep], size)]
-                stops = np.cumsum(size)
-                joined[stops - 1] = 32
-                stops = np.append(0, stops)
-                first_kept = np.searchsorted(keep, first)
+                gone = covered(begin, begin + window, len(starts))
+                removed = np.append(0, np.cumsum(gone))[first]
+                joined, stops = kept_spans(part, edges, first, starts, ends, ~gone, 32)
                 for k in range(b - a):
-                    lo, hi = first_kept[k], first_kept[k + 1]
-                    text = joined[stops[lo] : stops[hi] - 1].tobytes() if hi > lo else b""
+                    text = joined[stops[k] : max(stops[k], stops[k + 1] - 1)].tobytes()
                     out[0].append(int(first[k + 1] - first[k]))
-                    out[1].append(int(first[k + 1] - first[k] - (hi - lo)))
+                    out[1].append(int(removed[k + 1] - removed[k]))
                     out[2].append(hashlib.sha256(text).hexdigest())
                     out[3].append(text.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["k_doc", "n_words", "n_removed", "kept_sha256", "text"])
@@ -158,8 +151,8 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     Words are runs of anything but the six ASCII white-space characters. Null or empty text has no words and
     keeps nothing. Documents of fewer words than a window are kept whole. A repeated row (same id, same text)
-    repeats all its windows. A null id stays null. An empty table gives an empty result; other columns
-    aren't read. Raises ValueError if ``cover`` isn't a difference cover or the window is shorter than its period.
+    repeats all its windows. A null id stays null. A text of any length is one document, and needs some ten times its
+    bytes in one Python worker. An empty table gives an empty result; other columns aren't read. Raises ValueError if ``cover`` isn't a difference cover or the window is shorter than its period.
     """
     check_cover(period, cover)
     if window < period:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .exchange import buckets
-from .textops import PIECE, ROLL, pieces, ragged, text_bytes
+from .textops import OWN_BITS, eights, pieces, ragged, span_hashes, text_bytes
 
 MAGIC = b"LFWM1\0"
 #: Bits of a plane that are compressed together, and counted together for rank.
@@ -39,6 +39,8 @@ BLOCK_BITS = 1 << 16
 #: Tokens of a shard; a document with more is a shard of its own.
 SHARD_TOKENS = 2 << 20
 END_ID = 2
+#: Bytes of the longest part whose ids are kept.
+LONGEST = 64
 
 
 class WaveletMatrix:
@@ -217,12 +219,26 @@ class HashTable:
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
 
 
+def same_bytes(view: np.ndarray, start: np.ndarray, size: np.ndarray, text: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Which spans of ``view`` (from eights()) hold the same bytes as the spans of ``text``."""
+    out = size == other_size
+    there = eights(text)
+    left = np.flatnonzero(out & (size > 0))
+    at, to, room = start[left], other[left], size[left]
+    while len(left):
+        differ = (view[at] ^ there[to]) & OWN_BITS[np.minimum(room, 8)] != 0
+        out[left[differ]] = False
+        more = ~differ & (room > 8)
+        left, at, to, room = left[more], at[more] + 8, to[more] + 8, room[more] - 8
+    return out
+
+
 class Encoder:
     """Encodes batches of texts; each distinct stretch of text between safe places is encoded once.
 
     A text may be cut before a single space between two characters that surely aren't white space: the tokenizer's
-    word pattern always begins a new word there, so the parts' ids joined are the text's ids. Ids of the first
-    ``memory`` distinct parts are kept by their hash.
+    word pattern always begins a new word there, so the parts' ids joined are the text's ids. Ids and bytes of the first
+    ``memory`` distinct parts of up to ``LONGEST`` bytes are kept by their hash; a part found there is compared byte by byte.
     """
 
     def __init__(self, path: str, memory: int = 1_500_000):
@@ -235,6 +251,8 @@ class Encoder:
         self.memory, self.known = memory, HashTable(memory)
         self.begin, self.size = np.zeros(memory, np.int64), np.zeros(memory, np.int32)
         self.pool, self.used = np.empty(1 << 20, dtype=np.uint32), 0
+        self.text, self.text_used = np.zeros(1 << 20, dtype=np.uint8), 0
+        self.text_begin, self.text_size = np.zeros(memory, np.int64), np.zeros(memory, np.int64)
         letters = {k: len(token) for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items()}  # byte-level: one letter a byte
         self.width = np.zeros(max(letters) + 1, dtype=np.int64)
         self.width[list(letters)] = list(letters.values())
@@ -273,28 +291,46 @@ class Encoder:
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
         full = np.flatnonzero(begins)
         ends = np.append(full[1:], n)
-        key = ROLL.hashes(ROLL.sums(data), full, ends)
+        (key,) = span_hashes(data, full, ends, 1)
         number = self.known.find(key).astype(np.int64)
+        view = eights(data)
+        hit = np.flatnonzero(number >= 0)
+        same = same_bytes(view, full[hit], ends[hit] - full[hit], self.text[: self.text_used], self.text_begin[number[hit]], self.text_size[number[hit]])
+        number[hit[~same]] = -1
         new = np.flatnonzero(number < 0)
         pool = self.pool
         begin, size = self.begin[number], self.size[number].astype(np.int64)
         if len(new):
-            unique, first, which = np.unique(key[new], return_index=True, return_inverse=True)
-            at = new[first]
+            _, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            # parts with an equal hash and other bytes are encoded for themselves
+            at = new[first[which]]
+            same = same_bytes(view, full[new], ends[new] - full[new], data, full[at], ends[at] - full[at])
+            at = np.append(new[first], new[~same])
+            which[~same] = np.arange(len(first), len(at))
             alone = ~(safe[full[at]] & safe[ends[at]])
             order = np.argsort(alone, kind="stable")
             fresh, counts = self._encode(data, full[at][order], ends[at][order], int(alone.sum()))
             starts = self.used + np.cumsum(counts) - counts
-            keep = min(self.memory - self.known.n, len(order))
-            if keep:
-                lo = self.known.n
-                self.known.add(unique[order[:keep]])
-                self.begin[lo : lo + keep], self.size[lo : lo + keep] = starts[:keep], counts[:keep]
+            # kept: parts of a new hash, which aren't too long, as many as there is room for
+            own = at[order]
+            fits = np.flatnonzero((order < len(first)) & (ends[own] - full[own] <= LONGEST) & (self.known.find(key[own]) < 0))[: self.memory - self.known.n]
+            if len(fits):
+                lo, hi = self.known.n, self.known.n + len(fits)
+                own = own[fits]
+                self.known.add(key[own])
+                bytes_, text = ends[own] - full[own], data[ragged(full[own], ends[own] - full[own])]
+                while self.text_used + len(text) > len(self.text):
+                    self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+                self.text[self.text_used : self.text_used + len(text)] = text
+                self.text_size[lo:hi], self.text_begin[lo:hi] = bytes_, self.text_used + np.cumsum(bytes_) - bytes_
+                self.text_used += len(text)
+                self.begin[lo:hi], self.size[lo:hi] = starts[fits], counts[fits]
             while self.used + len(fresh) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
             pool = self.pool
             pool[self.used : self.used + len(fresh)] = fresh
-            self.used += int(counts[:keep].sum())
+            # what lies behind the last kept part is overwritten by the next batch
+            self.used += int((starts - self.used + counts)[fits[-1]]) if len(fits) else 0
             back = np.empty(len(order), dtype=np.int64)
             back[order] = np.arange(len(order))
             begin[new], size[new] = starts[back[which]], counts[back[which]]
@@ -333,7 +369,7 @@ def _written(path: str, end_id: int, shard_tokens: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             ids, nulls = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            for a, b in pieces(offsets, PIECE):
+            for a, b in pieces(offsets):
                 found, counts = enc.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 stops = np.cumsum(counts + 1)
                 tokens = np.full(int(stops[-1]), end_id, dtype=np.uint32)

@@ -64,12 +64,36 @@ def test_bytes(docs, rows, match, trigger, hot, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in found} == by_bytes([(r[0], r[1]) for r in rows], match)
 
 
-def test_suffix_ranks():
-    text = np.frombuffer(b"banana$bandana$", np.uint8)
-    ends = np.array([7] * 7 + [15] * 8)
-    rank = parsing.suffix_ranks(text, ends, 3)
-    key = [bytes(text[i : min(i + 3, ends[i])]) for i in range(len(text))]
-    assert [[(a > b) - (a < b) for b in rank.tolist()] for a in rank.tolist()] == [[(a > b) - (a < b) for b in key] for a in key]
+def test_later_strings():
+    """Entries with a trigger of 2 bytes and strings of 5, against all strings by hand."""
+    rng = np.random.default_rng(9)
+    entries = []
+    for _ in range(300):
+        before, after = int(rng.integers(0, 4)), int(rng.integers(0, 4))
+        if before + after >= 3:
+            entries.append((bytes(rng.choice(list(b"ab"), before).tolist()) + b"XY" + bytes(rng.choice(list(b"ab"), after).tolist()), before))
+    size = np.array([len(e) for e, _ in entries])
+    rank = rng.permutation(len(entries))
+    text = np.frombuffer(b"".join(e for e, _ in entries), np.uint8)
+    entry, start = parsing.later_strings(text, np.cumsum(size) - size, size, np.array([b for _, b in entries]), rank, 5, 2)
+    seen, expected = set(), []
+    for k in np.argsort(rank).tolist():
+        for i in range(len(entries[k][0]) - 4):
+            word = entries[k][0][i : i + 5]
+            if word in seen:
+                expected.append((k, i))
+        seen |= {entries[k][0][i : i + 5] for i in range(len(entries[k][0]) - 4)}
+    assert sorted(zip(entry.tolist(), start.tolist())) == sorted(expected) and expected
+
+
+def test_common_lengths():
+    words = [b"banana", b"band", b"ban", b"can", b""]
+    rows = np.zeros((5, 6), np.uint8)
+    for k, w in enumerate(words):
+        rows[k, : len(w)] = list(w)
+    order = parsing.sorted_rows(rows)
+    assert [words[k] for k in order] == sorted(words)
+    assert parsing.common_lengths(rows, np.array([len(w) for w in words]), order).tolist() == [0, 0, 3, 3, 0]
 
 
 def test_window_owner():
@@ -89,6 +113,80 @@ def test_bytes_odd(odd, none):
         parsing.remove_repeated_bytes(none, match=10, trigger=10)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[k.bit_count() % 2] for k in range(n))
+
+
+def test_complements_differ(spark):
+    """Thue-Morse texts and their complements, which collide under every polynomial hash modulo 2^64, are different."""
+    one, two = thue_morse(2048), thue_morse(2048, "b", "a")
+    df = lambda *t: spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    found = lines.remove_repeated_lines(df(f"x\n{one}\ny", f"x\n{two}\ny")).collect()
+    assert [r.n_removed for r in found] == [0, 0]
+    common = " ".join(f"w{k}" for k in range(34))
+    rows = [(0, f"{common} {one}"), (1, f"{common} {two}")]
+    assert [r.n_removed for r in substrings.remove_repeated_windows(df(*(t for _, t in rows))).collect()] == [0, 0]
+    for n, match, trigger in ((64, 100, 32), (2048, 100, 32), (2048, 1200, 1100)):
+        rows = [(0, thue_morse(n) * 3), (1, thue_morse(n, "b", "a") * 3), (2, thue_morse(n, "c", "d") + thue_morse(n))]
+        found = parsing.remove_repeated_bytes(df(*(t for _, t in rows)), match=match, trigger=trigger).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in found} == by_bytes(rows, match)
+    words = thue_morse(64, "p ", "q ")
+    rows = [(0, words), (1, thue_morse(64, "q ", "p "))]
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.text) for r in substrings.remove_repeated_windows(df(*(t for _, t in rows))).collect()) == by_words(rows, 35)
+
+
+def test_small_pieces(docs, rows, monkeypatch):
+    """Texts far longer than what is worked on at a time."""
+    from loomframe.llm import textops
+
+    own = [(r[0], r[1]) for r in rows]
+    docs = docs.coalesce(1).sortWithinPartitions("doc_id")
+    for module, name, size in ((textops, "PIECE", 300), (textops, "SPANS", 7), (parsing, "PIECE", 700), (textops, "LONG", 20)):
+        monkeypatch.setattr(module, name, size)
+    data = [np.frombuffer((t or "").encode(), np.uint8) for _, t in own]
+    offsets = np.append(0, np.cumsum([len(d) for d in data]))
+    whole = np.concatenate(data)
+    starts, ends, first = textops.word_spans(whole, offsets)
+    raw = whole.tobytes()
+    assert [[raw[s:e].decode() for s, e in zip(starts[a:b], ends[a:b])] for a, b in zip(first[:-1], first[1:])] == [WORDS.findall(t or "") for _, t in own]
+    batch = docs.select("doc_id", "doc_id", "text").toArrow().combine_chunks().to_batches()[0]
+
+    def passed(step, columns=2):
+        out = [b for b in step(iter([batch]))]
+        return out
+
+    # map tasks and reduce tasks in this process, where the sizes above hold
+    import pyarrow as pa
+
+    def blobs(out):
+        table = pa.Table.from_batches(out)
+        return [table.filter(pa.compute.equal(table["bucket"], k)).combine_chunks().to_batches() for k in range(3)]
+
+    from loomframe.llm import docwork
+
+    found = {}
+    parsed = blobs(passed(parsing._parse(100, 32, 3)))
+    first_pass = [b for part in parsed for b in parsing._dictionary(iter(part), 3)]
+    spans = [r for part in blobs(first_pass) for b in docwork._regroup(iter(part)) for r in b.to_pylist()]
+    entries = {}
+    for s in spans:
+        (entries if s["kind"] == parsing.ENTRY else found).setdefault(s["k_doc"], []).append(s)
+    texts = dict(own)
+    kind = pa.list_(pa.struct([("first", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("bucket", pa.list_(pa.int32()))]))
+    pick = lambda x: [{k: s[k] for k in ("first", "n", "bucket")} for s in x]
+    near = pa.RecordBatch.from_arrays([pa.array(list(entries)), pa.array(list(entries)), pa.array([texts[d] for d in entries]), pa.array([pick(x) for x in entries.values()], kind)], names=["k_doc", "k_sub", "text", "spans"])
+    sent = list(parsing._entries(100, 3)(iter([near])))
+    more = [b for part in blobs(sent) for b in parsing._suffix_order(100, 32, 3)(iter(part))]
+    for part in blobs(more):
+        for b in docwork._regroup(iter(part)):
+            for r in b.to_pylist():
+                found.setdefault(r["k_doc"], []).append(r)
+    last = pa.RecordBatch.from_arrays([pa.array([d for d, _ in own]), pa.array([d for d, _ in own]), pa.array([t for _, t in own]), pa.array([pick(found.get(d, [])) for d, _ in own], kind)], names=["k_doc", "k_sub", "text", "spans"])
+    out = {r["k_doc"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["kept"]) for b in parsing._kept(100, True)(iter([last])) for r in b.to_pylist()}
+    # k_sub is the document's id here, so that repeated rows play no part
+    assert out == by_bytes(own, 100)
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 @pytest.mark.parametrize("hot", [64, 0])
 def test_repeated_rows_are_one_document(spark, parts, hot, monkeypatch):

@@ -269,6 +269,20 @@ def test_hash_table():
     assert (table.find(keys) == np.arange(len(keys))).all() and (table.find(keys ^ np.uint64(1 << 20)) == -1).mean() > 0.99
 
 
+def test_encoder_compares_bytes(monkeypatch):
+    """Parts with equal hashes get their own ids: all hashes are made equal, in one batch and in the next."""
+    import public_tokenizers
+
+    enc = tokenstore.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 100)
+    monkeypatch.setattr(tokenstore, "span_hashes", lambda data, starts, ends, variants: [np.full(len(starts), 7, np.uint64)])
+    thue = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    for texts in (["one two two", "three", "", "one"], ["four one four", thue, thue.translate(str.maketrans("ab", "ba")), thue]):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        found, counts = enc.encode(data, np.append(0, np.cumsum([len(t) for t in texts])))
+        expected = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert found.tolist() == sum(expected, []) and counts.tolist() == [len(x) for x in expected]
+
+
 def test_tokenize(spark, docs, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
