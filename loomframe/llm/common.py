@@ -75,6 +75,13 @@ def clear_cuts(spark: SparkSession, paths: list[str] | None = None) -> int:
     return len(gone)
 
 
+def no_reserved(df: DataFrame) -> None:
+    """ValueError if a column's name begins with ``__lf_``, which the operators that add columns for a while keep to themselves."""
+    taken = [c for c in df.columns if c.startswith("__lf_")]
+    if taken:
+        raise ValueError(f"Columns {taken} have names that are reserved.")
+
+
 def bind(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable, so that ``body`` can use it many times and it is computed once."""
     return F.transform(F.array(value), body)[0]

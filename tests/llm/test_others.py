@@ -1,5 +1,6 @@
 """Quality rules, sharding, mixing, URL filter, decontamination and token shards."""
 
+import itertools
 import math
 import re
 import zlib
@@ -76,6 +77,86 @@ def test_quality_odd(odd, none):
     assert quality.good_documents(none).count() == 0
 
 
+def least_determinant(x):
+    """Brute force: mean, covariance (scaled) and log determinant of the best subset of rows."""
+    n, p = x.shape
+    h = quality.subset_size(n, p)
+    best = None
+    for chosen in itertools.combinations(range(n), h):
+        own = x[list(chosen)].astype(float)
+        cov = np.cov(own.T, bias=True) * quality.consistency(h, n, p)
+        cov[np.diag_indices(p)] = np.maximum(cov.diagonal(), quality._LEAST)
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[2] - 1e-9:
+            best = own.mean(axis=0), cov, det
+    return best
+
+
+def test_least_determinants(spark):
+    """Small groups against all subsets: the estimate found is nearly always the best one, and then gives its distances."""
+    rng = np.random.default_rng(7)
+    rows, groups = [], {}
+    for g in range(25):
+        n = int(rng.integers(10, 15))
+        x = np.round(rng.normal(0, [12, 20, 30, 25, 40], (n, 5)) + 100).astype(int)
+        x[: n // 6] += np.round(rng.normal(400, 50, (n // 6, 5))).astype(int)
+        groups[f"s{g}"] = x
+        rows += [("en", f"s{g}", *map(int, v)) for v in x]
+    rows += [("en", "few", 1, 2, 3, 4, 5)] * 9
+    out = {r.source: r for r in quality.fit(spark.createDataFrame(rows, "lang string, source string, x0 long, x1 long, x2 long, x3 long, x4 long")).collect()}
+    assert out.keys() == groups.keys()
+    same = 0
+    for g, x in groups.items():
+        mean, cov, det = least_determinant(x)
+        v = np.zeros((5, 5))
+        for i, j in quality._PAIRS:
+            v[i, j] = out[g][f"v{i}_{j}"]
+        found = -2 * np.log(v.diagonal()).sum()
+        assert found >= det - 1e-6
+        if found < det + 1e-6:
+            same += 1
+            away = [(r - mean) @ np.linalg.inv(cov) @ (r - mean) for r in x]
+            own = [((v @ (r - np.array([out[g][f"u{i}"] for i in range(5)]))) ** 2).sum() for r in x]
+            assert own == pytest.approx(away, rel=1e-6)
+    assert same >= 20
+
+
+def test_subset_is_exact_with_ties(spark):
+    """One vector that most rows share, and some others: exactly h rows make the estimate."""
+    rows = [("en", "s", 10, 10, 0, 0, 0)] * 30 + [("en", "s", 10 + k, 10 - 2 * k, k % 3, 0, 0) for k in range(1, 21)]
+    (r,) = quality.fit(spark.createDataFrame(rows, "lang string, source string, x0 long, x1 long, x2 long, x3 long, x4 long")).collect()
+    x = np.array([r[2:] for r in rows], float)
+    h = quality.subset_size(50, 5)
+    v = np.zeros((5, 5))
+    for i, j in quality._PAIRS:
+        v[i, j] = r[f"v{i}_{j}"]
+    away = ((x - np.array([r[f"u{i}"] for i in range(5)])) @ v.T) ** 2
+    nearest = sorted(zip(away.sum(axis=1), x.tolist()))[:h]
+    assert np.mean([n[1] for n in nearest], axis=0) == pytest.approx([r[f"u{i}"] for i in range(5)])
+
+
+def test_cut_offs():
+    assert quality.f_quantile(0.95, 5, 10) == pytest.approx(3.3258, abs=1e-3) and quality.f_quantile(0.99, 5, 200) == pytest.approx(3.1100, abs=1e-3)
+    sizes, cuts = quality.size_classes(), quality.cut_offs(quality.QUANTILE, 5)
+    assert len(cuts) == len(sizes) + 1 and min(cuts[10:]) == cuts[-1] and cuts[-1] == pytest.approx(30.856, abs=1e-3) and cuts[-2] < 31.5
+    # normal rows: few are beyond the 99 % cut, in small groups too
+    rng = np.random.default_rng(2)
+    for n in (12, 40):
+        beyond = 0
+        for _ in range(60 if n > 12 else 30):
+            x = rng.normal(0, 300, (n, 5))
+            if n == 12:
+                mean, cov, _ = least_determinant(x)
+            else:
+                keep = np.arange(n)
+                for _ in range(20):
+                    mean, cov = x[keep].mean(axis=0), np.cov(x[keep].T, bias=True) * quality.consistency(quality.subset_size(n, 5), n, 5)
+                    keep = np.argsort(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))[: quality.subset_size(n, 5)]
+            away = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            beyond += int((away > quality.cut_offs(0.99, 5)[n]).sum()) / n
+        assert beyond / (60 if n > 12 else 30) < 0.05
+
+
 def test_chi_square():
     assert quality.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
     assert quality.chi2_cdf(6.6257, 5) == pytest.approx(0.75, abs=1e-4)
