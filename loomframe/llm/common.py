@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
 
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
@@ -21,6 +23,7 @@ GAP = r"[\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
 _cuts: dict[str, list[str]] = {}
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,15 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later stages don't depend on lost executors."""
+    """Write ``df`` to the shared folder and read it again: later stages don't depend on lost executors. The table stays until
+    a scratch() around it ends, or clear_cuts() or the end of the session deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomframe-{label}-{uuid.uuid4().hex}"
     void = [f.name for f in df.schema if isinstance(f.dataType, NullType)]  # Parquet has no such type
     written = df.withColumns({c: F.lit(None).cast("string") for c in void})
+    own(spark, path)
     written.write.parquet(path)
-    _cuts.setdefault(spark.sparkContext.applicationId, []).append(path)
-    read = spark.read.schema(written.schema).parquet(path)
-    return read.withColumns({c: F.lit(None) for c in void})
+    read = spark.read.schema(written.schema).parquet(path).withColumns({c: F.lit(None) for c in void})
+    _paths[id(read)] = path
+    weakref.finalize(read, _paths.pop, id(read), None)
+    return read
+
+
+def own(spark: SparkSession, path: str) -> None:
+    """Count the table at ``path`` among those that clear_cuts() deletes."""
+    app = spark.sparkContext.applicationId
+    if app not in _cuts:
+        _cuts[app] = []
+        atexit.register(_at_exit, spark)
+    _cuts[app].append(path)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        clear_cuts(spark)
 
 
 def cuts(spark: SparkSession) -> list[str]:
@@ -52,18 +72,6 @@ def cuts(spark: SparkSession) -> list[str]:
     return list(_cuts.get(spark.sparkContext.applicationId, []))
 
 
-def roots(df: DataFrame) -> list[str] | None:
-    """The paths of the tables that ``df`` is read from; None if it has any other origin."""
-    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
-    for k in range(leaves.size()):
-        try:
-            paths = leaves.apply(k).relation().location().rootPaths()
-        except Py4JError:
-            return None
-        out += [paths.apply(i).toString() for i in range(paths.size())]
-    return out
-
-
 def clear_cuts(spark: SparkSession, paths: list[str] | None = None) -> int:
     """Delete those tables, or some of them, once what was made from them is stored elsewhere; how many there were."""
     known, jvm = _cuts.get(spark.sparkContext.applicationId, []), spark.sparkContext._jvm
@@ -75,6 +83,39 @@ def clear_cuts(spark: SparkSession, paths: list[str] | None = None) -> int:
     return len(gone)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """At its end the tables that cut() wrote inside are deleted, but for those that were passed to what it yields. An operator's result
+    may only read these."""
+    before, kept = set(cuts(spark)), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(_paths[id(df)])
+        return df
+
+    try:
+        yield keep
+    finally:
+        clear_cuts(spark, [p for p in cuts(spark) if p not in before | kept])
+
+
+#: A key is hot if it holds one row in so many; there are at most so many hot keys.
+HOT_SHARE = 1000
+
+
+def hot_join(rows: DataFrame, stats: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with ``stats``, which has one row a key and in ``size`` how many of ``rows`` the key holds.
+
+    Rows of a key that holds a thousandth of all or more are joined by broadcast, at most a thousand rows of ``stats``; so no
+    task gets all rows of such a key, and the others are too few to matter.
+    """
+    total = stats.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HOT_SHARE >= total
+    frequent = F.broadcast(stats.filter(hot))
+    rest = rows.join(F.broadcast(stats.filter(hot).select(key)), key, "left_anti").join(stats.filter(~hot), key)
+    return rows.join(frequent, key).unionByName(rest)
+
+
 def no_reserved(df: DataFrame) -> None:
     """ValueError if a column's name begins with ``__lf_``, which the operators that add columns for a while keep to themselves."""
     taken = [c for c in df.columns if c.startswith("__lf_")]

@@ -193,7 +193,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``df`` that overlap no benchmark item (see contaminated()), all columns unchanged."""
+    """The rows of ``df`` that overlap no benchmark item (see contaminated()), all columns unchanged.
+
+    Null and empty texts overlap nothing and stay; repeated rows stay or go together; with an empty benchmark all rows stay. A row's other
+    columns are passed through whatever their names.
+    """
     at = df.columns.index(text_col)
     for _, sent in blocks(benchmark, item_col, item_text_col, masks, block_words):
 

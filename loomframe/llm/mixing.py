@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, no_reserved, scratch, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -97,16 +97,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     others. An empty table gives an empty result. Other columns do no harm, whatever their names.
     """
     keyed = _keyed(df, id_col, text_col, source_col).select(*[F.col(f"`{c}`") for c in keep], *[F.col(c) for c in ("__lf_source", "__lf_size", "__lf_order", "__lf_bucket")])
-    counts = cut(keyed.groupBy("__lf_source", "__lf_bucket").agg(F.sum("__lf_size").alias("words")), "mix-buckets")
-    per_source = targets(counts.groupBy(F.col("__lf_source").alias("source")).agg(F.sum("words").alias("source_size")), weights, max_epochs)
-    by_bucket = Window.partitionBy("b_null", "b_source").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    null, name = _flat(F.col("__lf_source"))
-    buckets = counts.select(null.alias("b_null"), name.alias("b_source"), F.col("__lf_bucket").alias("b_bucket"), "words")
-    buckets = buckets.select("b_null", "b_source", "b_bucket", F.coalesce(F.sum("words").over(by_bucket), F.lit(0)).alias("b_before"))
-    null, name = _flat(F.col("source"))
-    per_source = per_source.select(null.alias("s_null"), name.alias("s_source"), "source_size", "class", "target")
-    plan = buckets.join(per_source, (F.col("b_null") == F.col("s_null")) & (F.col("b_source") == F.col("s_source")))
-    plan = cut(plan.select("b_null", "b_source", "b_bucket", "b_before", "source_size", "class", "target"), "mix-plan")
+    with scratch(df.sparkSession) as stays:
+        plan = stays(cut(_plan(keyed, weights, max_epochs), "mix-plan"))
     null, name = _flat(F.col("__lf_source"))
     local = keyed.withColumns({"__lf_null": null, "__lf_name": name})
     queue = Window.partitionBy("__lf_null", "__lf_name", "__lf_bucket").orderBy("__lf_order", "__lf_size").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,6 +112,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return both.select(*[F.col(f"`{c}`") for c in keep], mixed.alias("__lf_mix"))
 
 
+def _plan(keyed: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
+    """For each bucket of a source: the words before it, and its source's size, class and target."""
+    counts = cut(keyed.groupBy("__lf_source", "__lf_bucket").agg(F.sum("__lf_size").alias("words")), "mix-buckets")
+    per_source = targets(counts.groupBy(F.col("__lf_source").alias("source")).agg(F.sum("words").alias("source_size")), weights, max_epochs)
+    by_bucket = Window.partitionBy("b_null", "b_source").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    null, name = _flat(F.col("__lf_source"))
+    buckets = counts.select(null.alias("b_null"), name.alias("b_source"), F.col("__lf_bucket").alias("b_bucket"), "words")
+    buckets = buckets.select("b_null", "b_source", "b_bucket", F.coalesce(F.sum("words").over(by_bucket), F.lit(0)).alias("b_before"))
+    null, name = _flat(F.col("source"))
+    per_source = per_source.select(null.alias("s_null"), name.alias("s_source"), "source_size", "class", "target")
+    plan = buckets.join(per_source, (F.col("b_null") == F.col("s_null")) & (F.col("b_source") == F.col("s_source")))
+    return plan.select("b_null", "b_source", "b_bucket", "b_before", "source_size", "class", "target")
+
+
 def _place(words_before: Column, schedules: Sequence[Sequence[tuple[float, float]]]) -> Column:
     share = F.when(F.col("__lf_mix.wanted") > 0, words_before / F.col("__lf_mix.wanted")).otherwise(F.lit(1.0))
     out = None
@@ -141,8 +147,11 @@ def mixed_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as it is taken, range-sorted by training position.
 
-    Documents stay whole: a last copy of which at least half the words are taken counts as one, else as none.
+    Documents stay whole: a last copy of which at least half the words are taken counts as one, else as none. Null texts and
+    texts without words are never taken. Repeated rows queue one after the other; rows at one position are ordered by
+    id. A null id is mixed like any other. An empty table stays empty. Raises ValueError if a column's name begins with ``__lf_``.
     """
+    no_reserved(df)
     rows = mix(df, id_col, text_col, source_col, weights, max_epochs, schedules, keep=df.columns)
     copies = F.when(F.col("__lf_mix.size") > 0, F.floor(F.col("__lf_mix.taken") / F.col("__lf_mix.size") + 0.5)).otherwise(0).cast("int")
     each = rows.withColumn("__lf_copies", copies).filter("__lf_copies > 0")

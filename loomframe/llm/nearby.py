@@ -14,20 +14,23 @@ verified links.
 
 Scale: equal texts are one node from the start. In a band, each map task links its members of a bucket to one of them and sends
 only that one on, so a bucket of any size gives one link a member, never all pairs. Large families are split by
-further components of the signature, several times over. A large family is closed block by block: every pair of
-blocks is a unit of its own. That is quadratic in the size of a family that is left apart.
+further components of the signature, several times over; what stays large, as texts that are all alike do, is dealt in
+blocks that share some texts. A large family is closed block by block: every pair of blocks is a unit of its own, unless
+both are of the family's largest part. That is the size of the family by what is left apart of it. Joins on a family or class spread
+those that hold a thousandth of all rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_join, no_reserved, scratch
 from .exchange import BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, deal, received, runs
 from .graph import components
 from .textops import U64, mix, pieces, ragged, span_hashes, text_bytes, window_hashes, word_spans
@@ -37,10 +40,12 @@ SIMILARITY = 0.8
 #: Components of a signature; the first BANDS * ROWS of them make the bands: a pair of similarity 0.8 shares a
 #: band with a probability of 1 - (1 - 0.8 ** 4) ** 32, all but 5e-8.
 COMPONENTS, BANDS, ROWS = 256, 32, 4
-#: Texts of which all pairs of signatures are compared at a time.
-BLOCK = 4096
+#: Texts of which all pairs of signatures are compared at a time, about.
+BLOCK = 256
 #: A larger family is dealt anew by two further components, so often.
-RESPLITS = 16
+RESPLITS = 4
+#: Texts that go to each block of what is still larger.
+HUBS = 8
 #: Texts in a block of a family that is closed, about.
 CLOSE_BLOCK = 256
 NULL_ID = -(1 << 63)
@@ -117,11 +122,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _signed(size: int, m: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = text_bytes(batch.column(3))
             for a, b in pieces(offsets):
                 found = signatures(*shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size), b - a, m)
                 raw = pa.Array.from_buffers(pa.binary(2 * m), b - a, [None, pa.py_buffer(np.ascontiguousarray(found))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], raw], names=["k_doc", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(3)), raw], names=["k_doc", "node", "check", "sig"])
 
     return run
 
@@ -194,35 +199,28 @@ def spanning_pairs(sig: np.ndarray, least: float) -> list[tuple[int, int]]:
 
 
 def _trees(least: float):
-    """Pairs to verify in each unit (family or part of one); rows come sorted by unit."""
+    """Pairs to verify in each unit; rows come sorted by unit and node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, nodes, sigs, hub = None, [], [], None
+        unit, nodes, sigs = None, [], []
 
         def tree() -> Iterator[pa.RecordBatch]:
-            nonlocal nodes, sigs, hub
-            if hub is not None:
-                nodes, sigs = [hub[0], *nodes], [hub[1], *sigs]
-            sig = np.stack(sigs)
-            found = spanning_pairs(sig, least)
-            degree = np.bincount(np.array(found, dtype=np.int64).ravel(), minlength=len(nodes)) if found else np.zeros(len(nodes), int)
-            hub = (nodes[int(degree.argmax())], sigs[int(degree.argmax())])
-            a, b = (np.array([nodes[p[k]] for p in found], dtype=np.int64) for k in (0, 1))
-            nodes, sigs = [], []
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            found = np.array(spanning_pairs(np.stack(sigs), least), dtype=np.int64).reshape(-1, 2)
+            if len(found):
+                ends = np.sort(np.array(nodes, dtype=np.int64)[found], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            data, _ = text_bytes(batch.column(2))
             sig = np.frombuffer(data.tobytes(), np.uint16).reshape(batch.num_rows, -1)
             for k, (u, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if u != unit or len(nodes) == BLOCK:
+                if u != unit:
                     if nodes:
                         yield from tree()
-                    if u != unit:
-                        unit, hub = u, None
-                nodes.append(node)
-                sigs.append(sig[k])
+                    unit, nodes, sigs = u, [], []
+                if not nodes or node != nodes[-1]:  # a hub is in its own block twice
+                    nodes.append(node)
+                    sigs.append(sig[k])
         if nodes:
             yield from tree()
 
@@ -315,26 +313,76 @@ def _closed(size: int, least: float, threshold: float):
     return run
 
 
+def _node(text: F.Column) -> F.Column:
+    return F.xxhash64(text)
+
+
 def _nodes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """k_doc, node (a hash of the text), check (60 bits of another) and text."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("k_doc"), F.xxhash64(text).alias("node"), text.alias("text"))
+    check = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("k_doc"), _node(text).alias("node"), check.alias("check"), text.alias("text"))
+
+
+def _told_apart(df: DataFrame, clashes: list[DataFrame], node: str = "node", check: str = "check") -> DataFrame:
+    """``df`` with other nodes for the texts that share a node with another text."""
+    for clash in clashes:
+        df = df.join(clash.select(F.col("node").alias(node), F.lit(True).alias("clash")), node, "left").withColumn(node, F.when(F.col("clash"), F.xxhash64(node, check)).otherwise(F.col(node))).drop("clash")
+    return df
+
+
+@dataclass
+class Links:
+    """``rows``: (k_doc, node) of each row. ``links``: the verified links (a, b, similarity) between nodes, which are the distinct texts.
+    ``clashes``: nodes that texts shared at first, for _told_apart()."""
 
+    rows: DataFrame
+    links: DataFrame
+    clashes: list[DataFrame]
 
-def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(k_doc, node) of each row, and the verified links (a, b, similarity) between the nodes, which are the distinct texts."""
+
+def _units(members: DataFrame, n: int) -> DataFrame:
+    """(unit, node, sig): what is compared as a whole. ``members``: label, size, node, sig.
+
+    A family of up to BLOCK texts is a unit. A larger one is dealt RESPLITS times by two components; what then still has
+    more texts is dealt in blocks, and HUBS of its texts go to each block, so that the blocks' trees grow together.
+    """
+    small = members.filter(F.col("size") <= BLOCK).select(F.col("label").alias("unit"), "node", "sig")
+    part = lambda t: F.substring("sig", 2 * BANDS * ROWS + 4 * t + 1, 4)
+    split = F.explode(F.array(*(F.xxhash64("label", F.lit(t), part(t)) for t in range(RESPLITS))))
+    dealt = members.filter(F.col("size") > BLOCK).select(split.alias("unit"), "node", "sig")
+    if dealt.isEmpty():
+        return small
+    dealt = cut(dealt, "units")
+    among = F.pmod(F.xxhash64("node"), F.lit(HUBS))
+    stats = cut(dealt.groupBy("unit").agg(F.count("*").alias("n"), *(F.min(F.when(among == k, F.struct("node", "sig"))).alias(f"h{k}") for k in range(HUBS))), "unit-hubs")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    named = lambda k: F.when(F.col("n") > BLOCK, F.xxhash64("unit", k)).otherwise(F.col("unit"))
+    rows = hot_join(dealt, stats.select("unit", "n"), "unit", "n").select(named(F.pmod(F.xxhash64("node", "unit"), blocks)).alias("unit"), "node", "sig")
+    hubs = stats.filter(F.col("n") > BLOCK).select("unit", "n", F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("h")).filter("h is not null")
+    hubs = hubs.select("unit", "n", "h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("k")).select(named(F.pmod(F.col("k"), blocks)).alias("unit"), "h.node", "h.sig")
+    return small.unionByName(rows).unionByName(hubs)
+
+
+def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY) -> Links:
+    """The verified links between the distinct texts of ``df``."""
     n = buckets(df)
-    docs = _nodes(df, id_col, text_col)
-    signed = cut(docs.mapInArrow(_signed(size, COMPONENTS), "k_doc long, node long, sig binary"), "signatures")
-    texts = cut(signed.groupBy("node").agg(F.min("k_doc").alias("k_doc"), F.first("sig").alias("sig")), "texts")
-    rows = signed.select("k_doc", "node")
+    signed = cut(_nodes(df, id_col, text_col).mapInArrow(_signed(size, COMPONENTS), "k_doc long, node long, check long, sig binary"), "signatures")
+    clashes: list[DataFrame] = []
+    while True:  # in all likelihood once
+        seen = _told_apart(signed, clashes)
+        texts = cut(seen.groupBy("node").agg(F.min("k_doc").alias("k_doc"), F.first("sig").alias("sig"), F.min("check").alias("low"), F.max("check").alias("high")), "texts")
+        clash = texts.filter("low <> high").select("node")
+        if clash.isEmpty():
+            break
+        clashes.append(cut(clash, "clashes"))
+    docs = _told_apart(_nodes(df, id_col, text_col), clashes)
     # a text without words has no shingles: its signature is all zero, and no band of it is like another's
     banded = texts.filter(F.col("sig") != F.lit(bytes(2 * COMPONENTS))).select("node", "sig").mapInArrow(_banded(BANDS, ROWS, n), BLOBS_DDL)
     families = components(deal(banded, n).mapInArrow(_linked, LINKS_DDL))
-    sizes = families.groupBy("label").agg(F.count("*").alias("members"))
-    members = families.join(sizes, "label").join(texts.select("node", "sig"), "node")
-    part = lambda t: F.substring("sig", 2 * BANDS * ROWS + 4 * t + 1, 4)
-    split = F.when(F.col("members") > BLOCK, F.array(*(F.xxhash64("label", F.lit(t), part(t)) for t in range(RESPLITS)))).otherwise(F.array(F.col("label")))
-    units = members.select(F.explode(split).alias("unit"), "node", "sig")
+    sizes = cut(families.groupBy("label").agg(F.count("*").alias("size")), "family-sizes")
+    members = cut(hot_join(families, sizes, "label", "size").join(texts.select("node", "sig"), "node"), "members")
+    units = _units(members, n)
     # estimates of a true link stray by 0.025: all but a few in 10^8 are above this
     least = threshold - 5.5 * (threshold * (1 - threshold) / COMPONENTS) ** 0.5
     pairs = units.repartition(n, "unit").sortWithinPartitions("unit", "node").mapInArrow(_trees(least), LINKS_DDL)
@@ -347,15 +395,27 @@ def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     # candidates that no tree held may join what is still apart
     parts = members.drop("sig").join(components(links.select("a", "b")).toDF("node", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     parts = cut(parts, "parts")
-    apart = parts.groupBy("label").agg(F.min("part").alias("one"), F.max("part").alias("two")).filter("one <> two").select("label")
-    apart = parts.join(apart, "label", "left_semi")
-    known = docs.join(apart.join(texts, "node"), ["node", "k_doc"]).select("node", "label", "part", "members", "sig", "text").dropDuplicates(["node"])
-    blocks = F.ceil(F.col("members") / CLOSE_BLOCK).cast("int")
-    known = cut(known.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")}), "apart")
-    mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("label", F.least("block", k), F.greatest("block", k)))
+    counts = parts.groupBy("label", "size", "part").agg(F.count("*").alias("n"))
+    apart = counts.groupBy("label", "size").agg(F.max(F.struct("n", "part")).alias("core")).filter("core.n < size")
+    apart = cut(apart.select("label", "size", F.col("core.part").alias("core"), F.col("core.n").alias("inside")), "apart-families")
+    if apart.isEmpty():
+        return Links(signed_rows(signed, clashes), links, clashes)
+    rows = hot_join(parts.select("label", "node", "part"), apart, "label", "size")
+    known = docs.join(rows.join(texts.select("node", "k_doc", "sig"), "node"), ["node", "k_doc"]).dropDuplicates(["node"])
+    # blocks of the largest part come first; two of them needn't be compared
+    inner, outer = (F.greatest(F.ceil(c / CLOSE_BLOCK).cast("int"), F.lit(1)) for c in (F.col("inside"), F.col("size") - F.col("inside")))
+    key = F.xxhash64("node")
+    block = F.when(F.col("part") == F.col("core"), F.pmod(key, inner)).otherwise(inner + F.pmod(key, outer)).cast("int")
+    known = cut(known.select("label", "node", "part", "core", "sig", "text", inner.alias("inner"), outer.alias("outer"), block.alias("block")), "apart")
+    others = F.sequence(F.when(F.col("part") == F.col("core"), F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1)
+    mates = F.transform(others, lambda k: F.xxhash64("label", F.least("block", k), F.greatest("block", k)))
     units = known.select(F.explode(mates).alias("unit"), "node", "part", "block", "sig", "text")
     more = units.repartition(n, "unit").sortWithinPartitions("unit", "node").mapInArrow(_closed(size, least, threshold), "a long, b long, similarity double")
-    return rows, links.unionByName(cut(more.distinct(), "closing-links"))
+    return Links(signed_rows(signed, clashes), links.unionByName(cut(more.distinct(), "closing-links")), clashes)
+
+
+def signed_rows(signed: DataFrame, clashes: list[DataFrame]) -> DataFrame:
+    return _told_apart(signed.select("k_doc", "node", "check"), clashes).select("k_doc", "node")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
@@ -364,32 +424,39 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     A class holds equal texts and, over any chain, texts whose probability Jaccard similarity of word shingles is
     ``threshold`` or more. A text of fewer than ``size`` words has one shingle of all its words. Null text counts as
     empty; texts without words are alike only if they are equal. A null id stays null and is the least. Each of
-    repeated rows gives a row. An empty table gives an empty result; other columns aren't read.
+    repeated rows gives a row. A text of any length is taken whole, and needs some thirty times its bytes in one Python worker.
+    An empty table gives an empty result; other columns aren't read.
     """
-    rows, links = find_links(df, id_col, text_col, size, threshold)
-    labels = components(links.select("a", "b"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = rows.join(labels.join(degree, "node"), "node", "left").select("k_doc", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    known = cut(known, "labelled")
-    least = known.groupBy("label").agg(F.min("k_doc").alias("class_id"))
+    with scratch(df.sparkSession) as keep:
+        found = find_links(df, id_col, text_col, size, threshold)
+        labels = components(found.links.select("a", "b"))
+        degree = found.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        known = found.rows.join(labels.join(degree, "node"), "node", "left").select("k_doc", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        known = keep(cut(known, "labelled"))
+        least = keep(cut(known.groupBy("label").agg(F.min("k_doc").alias("class_id"), F.count("*").alias("size")), "classes"))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias
-    return known.join(least, "label").select(null("k_doc")("doc_id"), null("class_id")("class_id"), F.col("n_links").cast("long").alias("n_links"))
+    return hot_join(known, least, "label", "size").select(null("k_doc")("doc_id"), null("class_id")("class_id"), F.col("n_links").cast("long").alias("n_links"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
-    """One row of ``df`` for each class of classes(), that of the least id, all columns unchanged."""
-    rows, links = find_links(df, id_col, text_col, size, threshold)
-    labels = components(links.select("a", "b"))
-    known = cut(rows.join(labels, "node", "left").select("k_doc", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    best = known.groupBy("label").agg(F.min(F.struct("k_doc", "node")).alias("kept"), F.count("*").alias("n"))
-    kept = cut(best.select(F.col("kept.k_doc").alias("__lf_doc"), F.col("kept.node").alias("__lf_node")), "kept")
+    """One row of ``df`` for each class of classes(), that of the least id, all columns unchanged. Of repeated rows one stays; null texts
+    and empty ones are a class each; an empty table stays empty. Raises ValueError if a column's name begins with ``__lf_``."""
+    no_reserved(df)
+    with scratch(df.sparkSession) as keep:
+        found = find_links(df, id_col, text_col, size, threshold)
+        labels = components(found.links.select("a", "b"))
+        known = cut(found.rows.join(labels, "node", "left").select("k_doc", "node", F.coalesce("label", "node").alias("label")), "labelled")
+        best = known.groupBy("label").agg(F.min(F.struct("k_doc", "node")).alias("kept"))
+        kept = keep(cut(best.select(F.col("kept.k_doc").alias("__lf_doc"), F.col("kept.node").alias("__lf_node")), "kept"))
+        # rows that repeat id and text are told apart only here, among the kept ones
+        again = known.groupBy("k_doc", "node").count().filter("count > 1").select(F.col("k_doc").alias("__lf_doc"), F.col("node").alias("__lf_node"))
+        again = keep(cut(again, "repeated"))
+        clashes = [keep(c) for c in found.clashes]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    docs = df.withColumns({"__lf_doc": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)), "__lf_node": F.xxhash64(text)})
-    # rows that repeat id and text are told apart only here, among the kept ones
-    again = known.groupBy("k_doc", "node").count().filter("count > 1").select(F.col("k_doc").alias("__lf_doc"), F.col("node").alias("__lf_node"))
-    again = cut(again, "repeated")
+    docs = df.withColumns({"__lf_doc": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)), "__lf_node": _node(text)})
+    if clashes:
+        docs = _told_apart(docs.withColumn("__lf_check", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")), clashes, "__lf_node", "__lf_check")
     out = docs.join(kept, ["__lf_doc", "__lf_node"])
     if not again.isEmpty():
-        once = out.join(again, ["__lf_doc", "__lf_node"], "left_anti").unionByName(out.join(again, ["__lf_doc", "__lf_node"], "left_semi").dropDuplicates(["__lf_doc", "__lf_node"]))
-        return once.select(*[F.col(f"`{c}`") for c in df.columns])
+        out = out.join(again, ["__lf_doc", "__lf_node"], "left_anti").unionByName(out.join(again, ["__lf_doc", "__lf_node"], "left_semi").dropDuplicates(["__lf_doc", "__lf_node"]))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -25,7 +25,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, bind, cut, no_reserved, words
+from .common import SPACES, WORD, bind, cut, no_reserved, scratch, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -343,7 +343,8 @@ def judge(df: DataFrame, lang_col: str = "lang", source_col: str = "source", qua
     """``df`` (with ``__lf_base``) with ``__lf_distance`` (null without an estimate) and ``__lf_kept``."""
     stats = df.filter("not __lf_base.base_failed")
     stats = stats.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), *(v.alias(c) for c, v in zip(_X, vector(F.col("__lf_base")), strict=True)))
-    best = fit(stats, quantile=quantile)
+    with scratch(df.sparkSession) as keep:
+        best = keep(fit(stats, quantile=quantile))
     best = best.select(*(F.col(c).alias(f"__lf_{c}") for c in best.columns))
     same = lambda a, b: a.eqNullSafe(b)
     on = same(F.col(f"`{lang_col}`"), F.col("__lf_lang")) & same(F.col(f"`{source_col}`"), F.col("__lf_source"))

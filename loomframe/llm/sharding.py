@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import no_reserved
+
 #: Slots of the production table; bounds what is broadcast to about 1 MB whatever the input's size.
 TABLE_SIZE = 65_537
 #: Largest table that may be broadcast.
@@ -64,8 +66,10 @@ def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str] | Mapping[st
 
     Every row stays, repeated rows too: rows with equal keys go to one shard. Null keys are placed like
     any value, so all rows with null keys share a shard. An empty table stays empty. Columns of ``df``
-    named like the two new ones are replaced; all other columns are kept.
+    named like the two new ones are replaced; all other columns are kept. Raises ValueError if a column's name
+    begins with ``__lf_``.
     """
+    no_reserved(df)
     owner = fill_table(shards, size)
     table = df.sparkSession.createDataFrame(pd.DataFrame({"__lf_slot": range(size), "__lf_shard": owner}), "__lf_slot int, __lf_shard int")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (slot_col, shard_col)]

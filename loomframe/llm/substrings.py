@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import docwork
-from .common import cut
+from .common import cut, scratch
 from .exchange import BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, deal, received, runs
 from .textops import covered, kept_spans, mix, pieces, ragged, span_hashes, text_bytes, window_hashes, word_spans
 
@@ -159,11 +159,12 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
         raise ValueError("the window must be as long as the period, or longer")
     n = buckets(df)
     docs = docwork.keyed(df, id_col, text_col)
-    anchors = deal(docs.mapInArrow(_anchors(window, period, cover, n), BLOBS_DDL), n)
-    found = cut(docwork.by_document(anchors.mapInArrow(lambda it: _repeated(it, 1, n), BLOBS_DDL), n), "anchors")
-    near = docwork.with_found(docs, found, "inner")
-    windows = deal(near.select("k_doc", "k_sub", "text", "spans").mapInArrow(_windows(window, period, n), BLOBS_DDL), n)
-    repeated = cut(docwork.by_document(windows.mapInArrow(lambda it: _repeated(it, 2, n), BLOBS_DDL), n), "windows")
+    with scratch(df.sparkSession) as keep:
+        anchors = deal(docs.mapInArrow(_anchors(window, period, cover, n), BLOBS_DDL), n)
+        found = cut(docwork.by_document(anchors.mapInArrow(lambda it: _repeated(it, 1, n), BLOBS_DDL), n), "anchors")
+        near = docwork.with_found(docs, found, "inner")
+        windows = deal(near.select("k_doc", "k_sub", "text", "spans").mapInArrow(_windows(window, period, n), BLOBS_DDL), n)
+        repeated = keep(cut(docwork.by_document(windows.mapInArrow(lambda it: _repeated(it, 2, n), BLOBS_DDL), n), "windows"))
     out = docwork.with_found(docs, repeated, "left").select("k_doc", "k_sub", "text", "spans").mapInArrow(_kept(window, with_text), RESULT_DDL)
     return out.select(docwork.doc_id(), "n_words", "n_removed", "kept_sha256", *["text"] * with_text)
 

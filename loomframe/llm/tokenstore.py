@@ -393,7 +393,8 @@ def write_shards(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     """
     text = F.col(f"`{text_col}`")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    dealt = docs.repartitionByRange(partitions or buckets(df), F.col("doc_id").asc_nulls_first())
+    # rows that share an id, or have none, are told apart by their texts
+    dealt = docs.repartitionByRange(partitions or buckets(df), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return ordered.mapInArrow(_written(tokenizer_path, end_id, shard_tokens), FILES_DDL)
 
@@ -414,11 +415,18 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_shards(files: DataFrame) -> DataFrame:
-    """One row a document: doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32."""
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "seq", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("shard_start"))
+    """One row a document: doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32.
+
+    ``files``: rows of write_shards(). Null ids stay null, repeated ids give a row each, no files give no rows. The tokens of a range are
+    summed first; only the ranges, one a shuffle partition, meet in one task.
+    """
+    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.select("part", before.alias("part_start"))
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = files.select("part", "seq", within.alias("within")).join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("within")).alias("shard_start"))
     docs = files.select("part", "seq", "blob").mapInArrow(_read, READ_DDL)
-    return docs.join(F.broadcast(starts), ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenize(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:

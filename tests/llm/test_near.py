@@ -146,6 +146,46 @@ def test_components(spark):
 def test_cuts_are_cleared(spark):
     from loomframe.llm import common
 
+    common.clear_cuts(spark)
     kept = common.cut(spark.range(5), "test")
-    assert kept.count() == 5 and common.clear_cuts(spark) >= 1
-    assert common.clear_cuts(spark) == 0
+    with common.scratch(spark) as keep:
+        gone, stays = common.cut(spark.range(6), "test"), keep(common.cut(spark.range(7), "test"))
+        assert gone.count() == 6 and len(common.cuts(spark)) == 3
+    assert stays.count() == 7 and kept.count() == 5 and len(common.cuts(spark)) == 2
+    assert common.clear_cuts(spark) == 2 and common.clear_cuts(spark) == 0
+
+
+def test_hot_join(spark):
+    from loomframe.llm import common
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, -1, id) as key")
+    stats = rows.groupBy("key").count()
+    found = common.hot_join(rows, stats, "key", "count")
+    assert sorted(map(tuple, found.select("id", "key", "count").collect())) == sorted((k, -1 if k % 3 == 0 else k, 1667 if k % 3 == 0 else 1) for k in range(5000))
+    assert common.hot_join(rows.limit(0), stats.limit(0), "key", "count").count() == 0
+
+
+def test_texts_that_share_a_hash(spark, docs, odd, monkeypatch):
+    """Every text begins with one of three nodes: they are told apart by further hashes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(nearby, "_node", lambda text: F.pmod(F.xxhash64(text), F.lit(3)))
+    found = nearby.classes(docs).collect()
+    assert sorted((r.doc_id, r.class_id) for r in found) == brute([(r.doc_id, r.text) for r in docs.collect()])[0]
+    assert nearby.one_of_each(odd).count() == brute([(r.doc_id, r.text) for r in odd.collect()])[1]
+
+
+def test_recall_in_a_family_over_the_block(spark):
+    """A family of 700 texts, over BLOCK, around similarity 0.8, against all pairs: 0.9 of the linked pairs or more are in one class."""
+    rng = np.random.default_rng(21)
+    base = [f"w{rng.integers(1 << 40)}" for _ in range(400)]
+    rows = []
+    for k in range(700):
+        own = base.copy()
+        for place in rng.choice(400, int(rng.integers(1, 9)), replace=False):
+            own[place] = f"v{k}x{place}"
+        rows.append((k, " ".join(own)))
+    sets = [frozenset(weights(t)) for _, t in rows]
+    label = {r.doc_id: r.class_id for r in nearby.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    linked = [(a, b) for a, b in combinations(range(700), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert len(linked) > 10_000 and all(label[a] == label[b] for a, b in linked)
