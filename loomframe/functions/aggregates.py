@@ -1,13 +1,14 @@
 """Aggregate callables as native Spark columns; others become grouped Arrow-batched UDFs.
 
 A native aggregate is summed in map tasks before the shuffle. Results keep the source column's type, so that a
-mean of integers is cut toward zero; ``preserve_dtype=False`` gives Spark's own result type.
+mean of integers is cut toward zero; but sums and products of integers, which outgrow narrow types as tables grow, and counts are long.
+``preserve_dtype=False`` gives Spark's own result type.
 """
 
 from __future__ import annotations
 
 import builtins
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,23 +73,22 @@ def known_name(fn: object) -> str | None:
 
 
 def parse(aggregation: Mapping[str, object] | None) -> dict[str, tuple[object, str]]:
-    """``{'col': fn}`` and ``{'new': (fn, 'col')}`` as ``{'new': (fn, 'col')}``; anything else is a ValueError."""
-    out: dict[str, tuple[object, str]] = {}
-    for name, spec in (aggregation or {}).items():
-        if _is_function(spec):
-            out[name] = (spec, name)
-        elif isinstance(spec, Sequence) and not isinstance(spec, str) and len(spec) == 2 and _is_function(spec[0]):
-            out[name] = (spec[0], spec[1])
-        else:
-            raise ValueError(f"{name}: {spec} is not a valid aggregation argument")
-    return out
+    """The function of each output column and the column that it reads: its own, or the one that is named beside the function."""
+    return {name: _applied(name, given) for name, given in (aggregation or {}).items()}
 
 
 def parse_iter(iter_fn: Mapping[str, object] | None) -> dict[str, object]:
-    for name, fn in (iter_fn or {}).items():
-        if not _is_function(fn):
-            raise ValueError(f"{name}: {fn} is not a valid aggregation argument")
-    return dict(iter_fn or {})
+    """The function of each output column that is made from the group's number."""
+    return {name: _applied(name, fn, paired=False)[0] for name, fn in (iter_fn or {}).items()}
+
+
+def _applied(name: str, given: object, paired: bool = True) -> tuple[object, str]:
+    fn, source = given, name
+    if paired and isinstance(given, tuple | list) and len(given) == 2:
+        fn, source = given
+    if not _is_function(fn) or not isinstance(source, str):
+        raise ValueError(f"Output column `{name}` takes a function{' or a function with a column name' if paired else ''}, but got {given!r}.")
+    return fn, source
 
 
 def _is_function(fn: object) -> bool:
@@ -103,17 +103,20 @@ def native_aggregate(fn: object, column: Column, kind: T.DataType, preserve_dtyp
     if name is None or (name in ("any", "all") and not isinstance(kind, T.BooleanType)):
         return None
     out = NATIVE[name](column, kind)
-    if name == "len":
-        return out.cast("long") if not preserve_dtype or not isinstance(kind, T.NumericType) else out.cast(kind)
+    if name == "len" or (name in ("sum", "prod") and isinstance(kind, T.IntegralType) and preserve_dtype):
+        return out.cast("long")
     if isinstance(kind, T.StringType) or not preserve_dtype:
         return out
     return out.cast(kind)
 
 
-def udf_aggregate(fn: Callable, kind: T.DataType) -> Callable[[Column], Column]:
-    """A grouped-aggregate pandas UDF of an unknown callable on the group's array; its result keeps the column's type."""
+def udf_aggregate(fn: Callable, kind: T.DataType, preserve_dtype: bool = True) -> Callable[[Column], Column]:
+    """A grouped-aggregate pandas UDF of an unknown callable on the group's array; its result keeps the column's type, or is
+    a double if that needn't be kept and is a number's."""
     import pandas as pd
 
+    if not preserve_dtype and isinstance(kind, T.NumericType):
+        kind = T.DoubleType()
     integral = isinstance(kind, T.IntegralType)
 
     def run(values: pd.Series) -> object:

@@ -6,7 +6,6 @@ few group rows are broadcast, so a group of any size doesn't have to fit in one
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -20,6 +19,8 @@ from ..plans.ordinals import RID, with_ordinals
 from . import predicates
 from .validate import has_columns, names, same_schema
 
+#: Rows of the smaller side of a join without an equality.
+MOST_COMPARED = 100_000
 _ORDINAL, _COUNT, _FIRST = "__lf_group", "__lf_count", "__lf_first"
 
 
@@ -71,7 +72,7 @@ class _Aggregated:
         for i, (fn, source) in enumerate(specs.values()):
             found = aggregates.native_aggregate(fn, _q(source), kinds[source], self.preserve_dtype)
             if found is None:
-                udfs.append(aggregates.udf_aggregate(fn, kinds[source])(_q(source)).alias(f"__lf_v{i}"))
+                udfs.append(aggregates.udf_aggregate(fn, kinds[source], self.preserve_dtype)(_q(source)).alias(f"__lf_v{i}"))
             else:
                 native.append(found.alias(f"__lf_v{i}"))
         if self.iters:
@@ -219,12 +220,23 @@ class _Join:
         place = {c: f"__lf_right_{i}" for i, c in enumerate(right.columns)}
         cond = predicates.all_of([predicates.condition(_q(a), op, _q(place[b]), kinds[a]) for a, b, op in self.on])
         hidden = [RID] if RID in left.columns else []
-        out = left.join(moved, cond, self.how)
+        out = left.join(moved, cond, self.how) if any(op == "==" for _, _, op in self.on) else self._compared(left, moved, cond)
         mine = [c for c in left.columns if c != RID and (not chosen or c in chosen)]
         theirs = [c for c in right.columns if c != RID and c not in left.columns and (not chosen or c in chosen)]
         return out.select(*(_q(c) for c in mine), *(_q(place[c]).alias(c) for c in theirs), *hidden)
 
 
+    def _compared(self, left: DataFrame, right: DataFrame, cond: Column) -> DataFrame:
+        """A join without an equality compares all pairs, so one side must be small: it is counted and sent to all tasks. An outer join
+        can only send the right one."""
+        for side in ("right", "left")[: 2 if self.how == "inner" else 1]:
+            small = right if side == "right" else left
+            if small.limit(MOST_COMPARED + 1).count() <= MOST_COMPARED:
+                pair = (left, F.broadcast(right)) if side == "right" else (F.broadcast(left), right)
+                return pair[0].join(pair[1], cond, self.how)
+        raise ValueError(f"A join without an equality needs a side of {MOST_COMPARED} rows or fewer{'' if self.how == 'inner' else ', the right one'}.")
+
+
 @dataclass
 class InnerJoin(_Join):
     """Rows of both sides for which all conditions hold."""
@@ -265,6 +277,3 @@ class Union:
     def apply(self, left: DataFrame, right: DataFrame) -> DataFrame:
         same_schema(left, right)
         return left.unionByName(right)
-
-
-union_all = functools.partial(functools.reduce, lambda a, b: Union().apply(a, b))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import csv
 import io
+import shutil
+import sqlite3
 import tempfile
 from collections.abc import Callable
 
@@ -38,6 +41,15 @@ def query(sql: str | None):
     return register
 
 
+def _folder(spark: SparkSession) -> str:
+    """The shared folder; where none is set, as in tests, a temporary one that goes with the process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="loomframe-csv-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found.rstrip("/")
+
+
 # ---- columns
 
 
@@ -140,7 +152,7 @@ def mask_list(t):
 # ---- aggregation
 
 
-@query("select l_returnflag, l_linestatus, cast(sum(l_linenumber) as integer) as l_linenumber, count(*) as count from lineitem group by all")
+@query("select l_returnflag, l_linestatus, cast(sum(l_linenumber) as bigint) as l_linenumber, count(*) as count from lineitem group by all")
 def group_by_sum_len(t):
     return t("lineitem").group_by(["l_returnflag", "l_linestatus"], {"l_linenumber": sum, "count": (len, "l_returnflag")})
 
@@ -299,8 +311,7 @@ def csv_round_trip(t):
     """Written as CSV by all executors, read again with inferred types."""
     supplier = t("supplier").select(["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
     spark = supplier.to_spark().sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomframe-csv-")
-    path = f"{where.rstrip('/')}/csv-{np.random.default_rng().integers(1 << 62)}"
+    path = f"{_folder(spark)}/csv-{np.random.default_rng().integers(1 << 62)}"
     supplier.to_csv(path, single_file=False)
     return Frame.read_csv(path, spark=spark)
 
@@ -353,3 +364,134 @@ def filter_group_chain(t):
     return out
 
 
+@query("select o_orderpriority, cast(sum(o_totalprice > 150000) as double) / count(*) as share from orders group by 1")
+def group_by_own_type(t):
+    """An unknown callable whose result needn't have its column's type."""
+    orders = t("orders").select(["o_orderpriority", "o_totalprice"])
+    orders["big"] = F.col("o_totalprice").cast("long")
+    return orders.group_by("o_orderpriority", {"share": (lambda x: float((x >= 150000).mean()), "big")}, preserve_dtype=False)
+
+
+@query("select r_name, cast(product(n_regionkey + 1) as bigint) as p from region join nation on r_regionkey = n_regionkey group by 1")
+def group_by_prod(t):
+    both = t("region").inner_join(t("nation"), [("r_regionkey", "n_regionkey", "==")], ["r_name", "n_regionkey"])
+    both["n_regionkey"] = both["n_regionkey"] + 1
+    return both.group_by("r_name", {"p": (np.prod, "n_regionkey")})
+
+
+@query("select unnest(list_value(r_name, r_name)) as r_name, unnest(list_value(r_regionkey, r_regionkey)) as r_regionkey from region")
+def key_map(t):
+    """A frame from what a function gives for each column's array."""
+    return Frame(dict(t("region", "r_regionkey").select(["r_name", "r_regionkey"]).key_map(np.repeat, 2)), {"r_regionkey": "int32"})
+
+
+@query("select 'r_regionkey' as name, max(r_regionkey)::bigint as top from region union all select 'n', max(length(r_name))::bigint from region")
+def col_map(t):
+    regions = t("region").select(["r_regionkey", "r_name"])
+    regions["n"] = F.length(F.col("r_name"))
+    regions = regions.select(["r_regionkey", "n"])
+    return Frame.from_records(list(zip(regions.columns, regions.col_map(lambda a: int(a.max())))), ["name", "top"], {"top": "int64"})
+
+
+@query("select r_regionkey * 10 + length(r_name) as v from region")
+def tuple_map(t):
+    out = t("region", "r_regionkey").select(["r_regionkey", "r_name"]).tuple_map(lambda r: (r.r_regionkey * 10 + len(r.r_name),))
+    return Frame.from_records(list(out), ["v"], {"v": "int32"})
+
+
+@query("select r_regionkey, r_name from region")
+def row_map(t):
+    rows = t("region", "r_regionkey").select(["r_regionkey", "r_name"]).row_map(lambda f: next(f.to_records()))
+    return Frame.from_records(list(rows), ["r_regionkey", "r_name"], {"r_regionkey": "int32"})
+
+
+@query("select n_nationkey, n_name from nation")
+def itertuples(t):
+    return Frame.from_records([tuple(r) for r in t("nation", "n_nationkey").select(["n_nationkey", "n_name"]).itertuples(None)], ["n_nationkey", "n_name"], {"n_nationkey": "int32"})
+
+
+@query("select r_name, r_regionkey from region")
+def itercols(t):
+    return Frame(dict(t("region", "r_regionkey").select(["r_regionkey", "r_name"]).itercols()), {"r_regionkey": "int32"})
+
+
+@query("select r_regionkey, r_name from region")
+def to_list(t):
+    keys, found = t("region", "r_regionkey").to_list(["r_regionkey", "r_name"], inner=True)
+    return Frame.from_records(list(zip(keys, found)), ["r_regionkey", "r_name"], {"r_regionkey": "int32"})
+
+
+@query("select r_regionkey, r_name from region")
+def to_tuple(t):
+    found = t("region", "r_regionkey").to_tuple(["r_regionkey", "r_name"], "Regions")
+    return Frame({"r_regionkey": found.r_regionkey, "r_name": found.r_name}, {"r_regionkey": "int32"})
+
+
+@query("select r_regionkey, r_name from region")
+def to_array(t):
+    return Frame.from_records([tuple(r) for r in t("region", "r_regionkey").to_array(["r_regionkey", "r_name"]).tolist()], ["r_regionkey", "r_name"], {"r_regionkey": "int32"})
+
+
+@query("select n_name from nation")
+def from_series(t):
+    return Frame.from_series(t("nation", "n_nationkey").to_pandas("n_name")["n_name"])
+
+
+@query("select r_regionkey, r_name from region")
+def as_frame(t):
+    return Frame.as_frame(t("region", "r_regionkey").to_pandas(["r_regionkey", "r_name"]))
+
+
+@query("select s_name, s_acctbal from supplier where s_acctbal > 5000")
+def read_cursor(t):
+    """Rows of a query at another database, through its cursor."""
+    cur = _loaded(t)
+    return Frame.read_sql("select s_name, s_acctbal from supplier where s_acctbal > 5000", cur)
+
+
+@query("select s_name, s_acctbal from supplier")
+def read_cursor_chunks(t):
+    out = None
+    for part in Frame.read_sql_chunks("select s_name, s_acctbal from supplier", _loaded(t), 30):
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _loaded(t):
+    cur = sqlite3.connect(":memory:").cursor()
+    cur.execute("create table supplier (s_name text, s_acctbal real)")
+    cur.executemany("insert into supplier values (?, ?)", list(t("supplier").to_records(["s_name", "s_acctbal"])))
+    return cur
+
+
+@query("""select * from (values (1, true, 1.5, 'x;y'), (null, false, null, 'say "hi"'), (3, null, 2.0, ' z')) v(a, b, "b (2)", d)""")
+def csv_odd(t):
+    """Bools, a repeated name, missing tokens and another separator."""
+    spark = t("region").to_spark().sparkSession
+    lines = ["a;b;b;d", '1;yes;1.5;"x;y"', '-;F;-;"say ""hi"""', "3;-;2.0; z"]
+    path = f"{_folder(spark)}/csv-{np.random.default_rng().integers(1 << 62)}"
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return Frame.read_csv(path, missing="-", delimiter=";", spark=spark)
+
+
+@query("select r_regionkey, r_name from region union all select r_regionkey, r_name from region")
+def union_inplace(t):
+    out = t("region", "r_regionkey").select(["r_regionkey", "r_name"])
+    out.union_inplace(out.copy())
+    return out
+
+
+@query("select count(*)::bigint as n_rows, 3::bigint as n_columns, 3 * count(*)::bigint as n_cells, 'r_comment' as missing from region")
+def properties(t):
+    regions = t("region")
+    regions["twice"] = regions["r_regionkey"] * 2
+    regions = regions.select(list(regions.keys()))
+    return Frame.from_records([(*regions.shape, regions.size, regions.get("r_comment", "r_comment"))], ["n_rows", "n_columns", "n_cells", "missing"])
+
+
+@query("select r_regionkey, r_name, upper(r_name) as u from region")
+def set_array(t):
+    """A column from a local array, by position."""
+    regions = t("region", "r_regionkey").select(["r_regionkey", "r_name"])
+    regions["u"] = np.array([n.upper() for n in regions.to_list("r_name", inner=True)[0]], dtype=object)
+    return regions

@@ -57,15 +57,15 @@ def parsers() -> list[tuple[str, object]]:
     return [("int32", lambda c: _as_int(c, "int")), ("int64", lambda c: _as_int(c, "long")), ("float64", _as_float), ("bool", _as_bool)]
 
 
-def read_text(spark: SparkSession, path: str | Path, missing: str | None = "", sep: str = ",", quote: str = '"', multi_line: bool = False) -> DataFrame:
+def read_text(spark: SparkSession, path: str | Path, missing: str | None = "", sep: str = ",", quote: str = '"', multi_line: bool = False, escape: str | None = None, skip_spaces: bool = False) -> DataFrame:
     """All columns as text, from a path or an open file's path; ``missing`` is null, as with blanks if it is the empty string."""
     path = str(getattr(path, "name", path) if not isinstance(path, str | Path) else path)
     head = spark.read.text(path, wholetext=False).head(1)
     if not head:
         raise ValueError(f"{path} has no header.")
-    header = unique_header(next(_csv.reader(io.StringIO(head[0][0]), delimiter=sep, quotechar=quote)))
+    header = unique_header(next(_csv.reader(io.StringIO(head[0][0]), delimiter=sep, quotechar=quote or None, quoting=_csv.QUOTE_MINIMAL if quote else _csv.QUOTE_NONE, escapechar=escape, skipinitialspace=skip_spaces)))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    options = {"header": True, "enforceSchema": True, "sep": sep, "quote": quote, "escape": quote, "mode": "FAILFAST", "multiLine": multi_line, "columnPruning": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    options = {"header": True, "enforceSchema": True, "sep": sep, "quote": quote or "\x00", "escape": escape or quote or "\x00", "mode": "FAILFAST", "multiLine": multi_line, "columnPruning": False, "ignoreLeadingWhiteSpace": skip_spaces, "ignoreTrailingWhiteSpace": False}
     # an unlikely marker keeps the reader from making nulls of its own; which text is missing is decided here
     options |= {"nullValue": "\x00", "emptyValue": ""}
     df = spark.read.schema(schema).options(**options).csv(path)
@@ -73,6 +73,26 @@ def read_text(spark: SparkSession, path: str | Path, missing: str | None = "", s
     return df.select(*((F.when(cell(i) != missing, cell(i)) if missing is not None else cell(i)).alias(name) for i, name in enumerate(header)))
 
 
+def csv_names(own: dict[str, object], given: Mapping[str, object]) -> dict[str, object]:
+    """Arguments of read_text() from those that Python's csv module knows; TypeError for any other."""
+    out, left = dict(own), dict(given)
+    for theirs, ours in (("delimiter", "sep"), ("quotechar", "quote"), ("escapechar", "escape"), ("skipinitialspace", "skip_spaces")):
+        if theirs in left:
+            out[ours] = left.pop(theirs)
+    quoting, doubled = left.pop("quoting", _csv.QUOTE_MINIMAL), left.pop("doublequote", True)
+    if quoting == _csv.QUOTE_NONE:
+        out["quote"] = ""
+    elif quoting not in (_csv.QUOTE_MINIMAL, _csv.QUOTE_ALL):
+        raise ValueError("Quoting must be minimal, all or none.")
+    if not doubled and not out.get("escape"):
+        out["escape"] = "\\"
+    left.pop("strict", None)
+    left.pop("lineterminator", None)
+    if left:
+        raise TypeError(f"Options {sorted(left)} aren't known.")
+    return out
+
+
 def infer(df: DataFrame) -> dict[str, str]:
     """The dtype of each text column; ValueError for rows of another length than the header."""
     kinds = parsers()
@@ -88,12 +108,14 @@ def infer(df: DataFrame) -> dict[str, str]:
     return {c: ("float64" if not row[f"n{i}"] else next((name for k, (name, _) in enumerate(kinds) if row[f"f{i}_{k}"]), "object")) for i, c in enumerate(df.columns)}
 
 
-def read_csv(spark: SparkSession, path: str | Path, guess_rows: int = 5, missing: str | None = "", dtypes: Mapping[str, object] | None = None, sep: str = ",", quote: str = '"', multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Path, guess_rows: int = 5, missing: str | None = "", dtypes: Mapping[str, object] | None = None, sep: str = ",", quote: str = '"', multi_line: bool = False, **csv_options: object) -> DataFrame:
     """A typed DataFrame. ``guess_rows`` is accepted and has no effect: types are inferred over all rows.
 
-    A blank in a column of whole numbers is null and the column stays whole. ``dtypes`` overrides what is inferred.
+    A blank in a column of whole numbers is null and the column stays whole. ``dtypes`` overrides what is inferred. The names that
+    Python's csv module has for options are taken too: ``delimiter``, ``quotechar``, ``escapechar``, ``doublequote``, ``quoting`` (minimal, all or
+    none), ``skipinitialspace``, ``strict`` and ``lineterminator``; the last two change nothing, as odd rows are errors and any line end is taken.
     """
-    text = read_text(spark, path, missing, sep, quote, multi_line)
+    text = read_text(spark, path, missing, **csv_names({"sep": sep, "quote": quote, "multi_line": multi_line}, csv_options))
     found = infer(text)
     parse = dict(parsers())
     for name in dtypes or {}:

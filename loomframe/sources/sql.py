@@ -1,4 +1,4 @@
-"""SQL input: over registered views, by JDBC, or through a DB-API cursor."""
+"""SQL input: over registered views, or through a DB-API cursor."""
 
 from __future__ import annotations
 
@@ -31,15 +31,21 @@ def _known(kind: object) -> object:
 
 
 def _described(cur: Cursor) -> tuple[list[str], list[object]]:
-    return [d[0] for d in cur.description], [_known(d[1]) for d in cur.description]
+    """Names and types; a type that the cursor doesn't tell is None, and found from the rows."""
+    return [d[0] for d in cur.description], [None if d[1] is None else _known(d[1]) for d in cur.description]
+
+
+def _rows_frame(spark: SparkSession, rows: list[Any], columns: list[str], kinds: list[object]) -> DataFrame:
+    if not rows:
+        return empty_frame(spark, columns, [k or "object" for k in kinds])
+    return records_frame(spark, rows, columns, {c: k for c, k in zip(columns, kinds, strict=True) if k is not None})
 
 
 def read_cursor(spark: SparkSession, query: str, cur: Cursor) -> DataFrame:
     """All rows of a query; none give an empty frame of the described columns."""
     cur.execute(query)
     columns, kinds = _described(cur)
-    rows = cur.fetchall()
-    return records_frame(spark, rows, columns, kinds) if rows else empty_frame(spark, columns, kinds)
+    return _rows_frame(spark, cur.fetchall(), columns, kinds)
 
 
 def read_cursor_chunks(spark: SparkSession, query: str, cur: Cursor, chunksize: int = 100) -> Iterator[DataFrame]:
@@ -49,17 +55,9 @@ def read_cursor_chunks(spark: SparkSession, query: str, cur: Cursor, chunksize:
     empty = True
     while rows := cur.fetchmany(chunksize):
         empty = False
-        yield records_frame(spark, rows, columns, kinds)
+        yield _rows_frame(spark, rows, columns, kinds)
     if empty:
-        yield empty_frame(spark, columns, kinds)
-
-
-def read_jdbc(spark: SparkSession, url: str, query: str, properties: dict[str, str] | None = None, column: str | None = None, lower: int | None = None, upper: int | None = None, partitions: int = 1, fetchsize: int = 10_000) -> DataFrame:
-    """A query at a database, read in ``partitions`` ranges of ``column`` by as many tasks."""
-    reader = spark.read.format("jdbc").options(url=url, fetchsize=fetchsize, **(properties or {}))
-    if column is None:
-        return reader.option("query", query).load()
-    return reader.options(dbtable=f"({query}) q", partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=partitions).load()
+        yield _rows_frame(spark, [], columns, kinds)
 
 
 def chunks(df: DataFrame, chunksize: int) -> Iterator[list[Any]]:

@@ -152,3 +152,21 @@ def test_join_rules(spark, left, right, op):
     make = lambda name, vs: Frame(spark.createDataFrame([(i, v) for i, v in enumerate(vs)], f"{name}i int, {name} double"))
     found = sorted(make("a", left).inner_join(make("b", right), [("a", "b", op)], ["ai", "bi"]).to_records())
     assert found == sorted((i, j) for i, a in enumerate(left) for j, b in enumerate(right) if holds(op, a, b))
+
+
+def test_sums_and_counts_are_long(spark):
+    t = Frame(spark.createDataFrame([("a", 2**31 - 1), ("a", 2**31 - 1)], "k string, v int"))
+    (row,) = t.group_by("k", {"v": sum, "n": (len, "v"), "p": (np.prod, "v")}).to_spark().collect()
+    assert row.v == 2**32 - 2 and row.n == 2
+
+
+def test_joins_without_equality_are_bounded(spark, monkeypatch):
+    from loomframe.operators import relational
+
+    monkeypatch.setattr(relational, "MOST_COMPARED", 3)
+    few, many = (Frame(spark.range(n).toDF(c)) for n, c in ((3, "a"), (9, "b")))
+    assert few.inner_join(many, [("a", "b", "<")]).rows == many.inner_join(few, [("b", "a", ">")]).rows == 8 + 7 + 6
+    assert many.left_join(few, [("b", "a", "<")]).rows == 2 + 1 + 7
+    for join in (lambda: many.inner_join(Frame(spark.range(9).toDF("a")), [("b", "a", "<")]), lambda: few.left_join(many, [("a", "b", "<")])):
+        with pytest.raises(ValueError):
+            join()
