@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from loomframe.llm import decontamination, mixing, quality, sharding, tokenstore, urls
@@ -278,11 +279,58 @@ def test_url_rules(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
-def test_url_classifier(spark):
-    rows = [(k, f"http://www.{a}{b}.example.com/{lang}/{k}", "<b>free pills cheap news daily</b>") for k, (a, b, lang) in enumerate([("free", "pills", "fr"), ("cheap", "pills", "fr"), ("news", "daily", "fr"), ("daily", "news", "fr")] * 20)]
-    rules = tuple(("block" if "pills" in h else "allow", h, "/") for h in ("freepills.example.com", "newsdaily.example.com"))
-    found = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=rules).collect()}
-    assert found[1].verdict == "block" and found[3].verdict == "allow" and "cheap pills" in found[1].words
+def plain_verdicts(rows, rules=urls.RULES):
+    """Lexicon, segmentation and naive Bayes in plain Python: (verdict by rule or None, score, host words) of each (url, html)."""
+    lexicon = Counter()
+    for _, html in rows:
+        text = re.sub(r"(?is)<script.*?</script>|<style.*?</style>|<[^>]*>", " ", html or "").lower()
+        lexicon.update(w for w in regex.findall(r"\p{L}+", text) if 2 <= len(w) <= urls.LONGEST_WORD)
+    split = urls.Segmenter(lexicon).split
+    tested = ({x for _, h, _ in rules for x in h.split(".")}, {x for _, _, p in rules for x in p.split("/") if x})
+    found = []
+    for url, _ in rows:
+        rest = (url or "").partition("://")[2]
+        host, path = re.match(r"(?s)([^/?#]*)(/[^?#]*)?", rest).groups()
+        host, path = "".join(c.lower() if c.isascii() else c for c in host), path or ""
+        fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        ruled = max(fits, key=lambda r: len(r[1] + r[2]))[0] if fits else None
+        own = []
+        for kind, parts, known in (("h", re.sub(r":[0-9]*$", "", host).split(".")[:-1], tested[0]), ("p", path.lower().split("/"), tested[1])):
+            for part in parts:
+                if part not in known:
+                    own += [(kind, w) for run in regex.findall(r"\p{L}+", part) for w in split(run)] + [(kind, "#")] * bool(re.search("[0-9]", part))
+        found.append((ruled, own))
+    counts = {v: Counter(t for r, own in found if r == v for t in own) for v in ("allow", "block")}
+    urls_of = Counter(r for r, _ in found)
+    size = len(counts["allow"].keys() | counts["block"].keys()) + 1
+    odds = lambda t: math.log(counts["block"][t] + 1) - math.log(counts["block"].total() + size) - math.log(counts["allow"][t] + 1) + math.log(counts["allow"].total() + size)
+    prior = math.log(urls_of["block"] + 1) - math.log(urls_of["allow"] + 1)
+    return [(r, prior + sum(map(odds, own)), " ".join(w for k, w in own if k == "h")) for r, own in found]
+
+
+def test_url_scores(spark):
+    """Every score and split against plain Python, on the pages of the smallest tables and on odd ones."""
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    pages += [(None, None, None), (-1, "http://españolgratis.org/en/ñandú?x", "<p>español gratis ñandú español</p>"), (-2, "x://" + "ab" * 3000 + ".org:80/", "y" * 100), (-2, "", ""), (-3, "http://a1.b.org/9/x9/", None)]
+    found = {(r.page_id, r.host): r for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    expected = plain_verdicts([p[1:] for p in pages])
+    assert len(found) == len(pages)
+    for (page, url, _), (ruled, score, words) in zip(pages, expected):
+        host = re.match(r"[^/?#]*", (url or "").partition("://")[2]).group()
+        r = found[page, "".join(c.lower() if c.isascii() else c for c in host)]
+        assert r.words == words and (r.score is None if ruled else r.score == pytest.approx(score, abs=1e-5))
+        assert r.verdict == (ruled or ("block" if r.score > 0 else "allow"))
+    assert found[-1, "españolgratis.org"].words == "español gratis"
+
+
+def test_host_words_decide(spark):
+    """Two hosts with the same last label and path get different verdicts."""
+    rows = []
+    for k in range(60):
+        rows += [(3 * k, f"http://{'cheappills' if k % 2 else 'freepills'}.example.net/es/a", "<p>cheap free pills daily news</p>"), (3 * k + 1, f"http://{'dailynews' if k % 2 else 'freenews'}.example.com/de/a", "<p>weather</p>")]
+    rows += [(1000, "http://cheappills.example.org/x/a", ""), (1001, "http://dailynews.example.org/x/a", ""), (1002, "http://newspills.example.org/x/a", "")]
+    found = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1000].verdict == "block" and found[1001].verdict == "allow" and found[1002].words == "news pills"
 
 
 def stretch(same, similarity):
