@@ -333,13 +333,18 @@ def _told_apart(df: DataFrame, clashes: list[DataFrame], node: str = "node", che
 
 @dataclass
 class Links:
-    """``rows``: (k_doc, node) of each row. ``links``: the verified links (a, b, similarity) between nodes, which are the distinct texts.
-    ``clashes``: nodes that texts shared at first, for _told_apart()."""
+    """``rows``: (k_doc, node) of each row. ``texts``: each node and how many copies it has. ``links``: the verified links (a, b, similarity)
+    between nodes, which are the distinct texts. ``clashes``: nodes that texts shared at first, for _told_apart()."""
 
     rows: DataFrame
+    texts: DataFrame
     links: DataFrame
     clashes: list[DataFrame]
 
+    def labelled(self) -> DataFrame:
+        """(node, copies, label) of each node."""
+        return self.texts.join(components(self.links.select("a", "b")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
 
 def _units(members: DataFrame, n: int) -> DataFrame:
     """(unit, node, sig): what is compared as a whole. ``members``: label, size, node, sig.
@@ -371,7 +376,7 @@ def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     clashes: list[DataFrame] = []
     while True:  # in all likelihood once
         seen = _told_apart(signed, clashes)
-        texts = cut(seen.groupBy("node").agg(F.min("k_doc").alias("k_doc"), F.first("sig").alias("sig"), F.min("check").alias("low"), F.max("check").alias("high")), "texts")
+        texts = cut(seen.groupBy("node").agg(F.min("k_doc").alias("k_doc"), F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min("check").alias("low"), F.max("check").alias("high")), "texts")
         clash = texts.filter("low <> high").select("node")
         if clash.isEmpty():
             break
@@ -399,7 +404,7 @@ def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     apart = counts.groupBy("label", "size").agg(F.max(F.struct("n", "part")).alias("core")).filter("core.n < size")
     apart = cut(apart.select("label", "size", F.col("core.part").alias("core"), F.col("core.n").alias("inside")), "apart-families")
     if apart.isEmpty():
-        return Links(signed_rows(signed, clashes), links, clashes)
+        return Links(signed_rows(signed, clashes), texts.select("node", "copies"), links, clashes)
     rows = hot_join(parts.select("label", "node", "part"), apart, "label", "size")
     known = docs.join(rows.join(texts.select("node", "k_doc", "sig"), "node"), ["node", "k_doc"]).dropDuplicates(["node"])
     # blocks of the largest part come first; two of them needn't be compared
@@ -411,7 +416,7 @@ def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     mates = F.transform(others, lambda k: F.xxhash64("label", F.least("block", k), F.greatest("block", k)))
     units = known.select(F.explode(mates).alias("unit"), "node", "part", "block", "sig", "text")
     more = units.repartition(n, "unit").sortWithinPartitions("unit", "node").mapInArrow(_closed(size, least, threshold), "a long, b long, similarity double")
-    return Links(signed_rows(signed, clashes), links.unionByName(cut(more.distinct(), "closing-links")), clashes)
+    return Links(signed_rows(signed, clashes), texts.select("node", "copies"), links.unionByName(cut(more.distinct(), "closing-links")), clashes)
 
 
 def signed_rows(signed: DataFrame, clashes: list[DataFrame]) -> DataFrame:
@@ -429,10 +434,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """
     with scratch(df.sparkSession) as keep:
         found = find_links(df, id_col, text_col, size, threshold)
-        labels = components(found.links.select("a", "b"))
         degree = found.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        known = found.rows.join(labels.join(degree, "node"), "node", "left").select("k_doc", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-        known = keep(cut(known, "labelled"))
+        nodes = cut(found.labelled().join(degree, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))), "nodes")
+        known = keep(cut(hot_join(found.rows, nodes, "node", "copies").select("k_doc", "node", "label", "n_links"), "labelled"))
         least = keep(cut(known.groupBy("label").agg(F.min("k_doc").alias("class_id"), F.count("*").alias("size")), "classes"))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias
     return hot_join(known, least, "label", "size").select(null("k_doc")("doc_id"), null("class_id")("class_id"), F.col("n_links").cast("long").alias("n_links"))
@@ -444,8 +448,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     no_reserved(df)
     with scratch(df.sparkSession) as keep:
         found = find_links(df, id_col, text_col, size, threshold)
-        labels = components(found.links.select("a", "b"))
-        known = cut(found.rows.join(labels, "node", "left").select("k_doc", "node", F.coalesce("label", "node").alias("label")), "labelled")
+        known = cut(hot_join(found.rows, cut(found.labelled(), "nodes"), "node", "copies").select("k_doc", "node", "label"), "labelled")
         best = known.groupBy("label").agg(F.min(F.struct("k_doc", "node")).alias("kept"))
         kept = keep(cut(best.select(F.col("kept.k_doc").alias("__lf_doc"), F.col("kept.node").alias("__lf_node")), "kept"))
         # rows that repeat id and text are told apart only here, among the kept ones
