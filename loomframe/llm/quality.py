@@ -43,6 +43,8 @@ MIN_GROUP = 2 * len(STATISTICS)
 #: Group sizes for which factor and quantile are worked out one by one; larger ones in steps of an eighth of a doubling, up to a size
 #: from which they are those of the limit.
 EACH_SIZE, LIMIT_SIZE = 128, 1 << 17
+#: Distinct vectors that a task of a concentration step works on, about.
+STEP_ROWS = 100_000
 #: Concentration steps after which something must be wrong: determinants only fall.
 MAX_STEPS = 200
 #: Most groups whose estimates are broadcast by hint: about 15 MB.
@@ -303,6 +305,8 @@ def fit(stats: DataFrame, share: float = SUBSET, quantile: float = QUANTILE) ->
     the greatest squared distance that is kept. ``stats``: lang, source, x*. Null is a language or source like any other.
     """
     cells = cut(stats.groupBy("lang", "source", *_X).agg(F.count("*").alias("n")), "mcd-cells")
+    # what is left is as small as its vectors are few: as many tasks as cores do, whatever the shuffle partitions
+    tasks = max(stats.sparkSession.sparkContext.defaultParallelism, cells.count() // STEP_ROWS)
     quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     groups = cells.groupBy("lang", "source").agg(F.sum("n").alias("size"), *(F.percentile(c, quartiles, F.col("n")).alias(f"q{i}") for i, c in enumerate(_X)))
     size = F.col("size")
@@ -311,7 +315,7 @@ def fit(stats: DataFrame, share: float = SUBSET, quantile: float = QUANTILE) ->
     factors = [consistency(subset_size(n, _P, share), n, _P) if n >= MIN_GROUP else 1.0 for n in size_classes()] + [share / chi2_cdf(chi2_quantile(share, _P), _P + 2)]
     of_size = lambda values: F.element_at(F.array(*map(F.lit, values)), size_class(size) + 1)
     groups = groups.withColumns({"g": F.to_json(F.struct("lang", "source")), "scale": of_size(factors), "cut": of_size(cut_offs(quantile, _P, share))})
-    groups = cut(groups.filter(size >= MIN_GROUP), "mcd-groups")
+    groups = cut(groups.filter(size >= MIN_GROUP).coalesce(tasks), "mcd-groups")
     mid = [F.col(f"q{i}")[1] for i in range(_P)]
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(_LEAST[i] ** 0.5)) for i in range(_P)]
     own = groups.select("g", "h", "scale", *(mid[i].alias(f"a{i}") for i in range(_P)), *(spread[i].alias(f"b{i}") for i in range(_P)))
@@ -325,10 +329,10 @@ def fit(stats: DataFrame, share: float = SUBSET, quantile: float = QUANTILE) ->
     rows = _away(_factored(rows)).withColumn("det", F.lit(float("inf")))
     states = None
     for _ in range(MAX_STEPS):
-        rows = cut(_step(rows), "mcd-step")
+        rows = cut(_step(rows).coalesce(tasks), "mcd-step")
         # those that stay are done; the others go on
         done = rows.filter(~F.col("moved")).groupBy("g", "start").agg(*(F.first(c).alias(c) for c in _STATE))
-        states = done if states is None else states.unionByName(done)
+        states = done.coalesce(tasks) if states is None else states.unionByName(done.coalesce(tasks))
         rows = rows.filter("moved")
         if rows.isEmpty():
             break
@@ -336,7 +340,7 @@ def fit(stats: DataFrame, share: float = SUBSET, quantile: float = QUANTILE) ->
         raise RuntimeError("concentration steps did not settle")
     best = states.groupBy("g").agg(F.min(F.struct(F.round("det", 9).alias("det"), "start", *(c for c in _STATE if c != "det"))).alias("best"))
     best = _inverted(best.select("g", *(F.col(f"best.{c}").alias(c) for c in _STATE)))
-    return cut(groups.join(best, "g").select("lang", "source", "cut", *(f"u{i}" for i in range(_P)), *(f"v{i}_{j}" for i, j in _PAIRS)), "mcd-best")
+    return cut(groups.join(best, "g").select("lang", "source", "cut", *(f"u{i}" for i in range(_P)), *(f"v{i}_{j}" for i, j in _PAIRS)).coalesce(tasks), "mcd-best")
 
 
 def judge(df: DataFrame, lang_col: str = "lang", source_col: str = "source", quantile: float = QUANTILE) -> DataFrame:
