@@ -12,8 +12,8 @@ lines or repeated words at all, so in many groups these don't vary within the su
 away. A variance below what STATISTICS states is singular in this sense and becomes that value; a greater one is left as it is.
 
 Scale: rows are counted by (group, vector) in map tasks, so a group of any size becomes as many rows as it has distinct
-vectors, and the steps run over these in one partitioning, without a further shuffle. Sums are of whole numbers, so they don't
-depend on the order of rows. Texts are never shuffled.
+vectors. Each step shuffles these once by group and start, and writes them, so that a lost executor costs one step; a group's
+distinct vectors meet in one task. Sums are of whole numbers, so they don't depend on the order of rows. Texts are never shuffled.
 """
 
 from __future__ import annotations
