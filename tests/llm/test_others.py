@@ -349,6 +349,68 @@ def test_longest_stretch():
         assert decontamination.longest_stretch(same, 0.8) == stretch(same.tolist(), 0.8)
 
 
+def test_masks_miss_nothing():
+    """However a fifth of the words is substituted, a mask fits between them: long stretches begin and end with words that agree, short items needn't."""
+    for sizes, masks, inner in ((range(decontamination.MIN_OVERLAP, 26), decontamination.MASKS, 1), (range(4, decontamination.MIN_OVERLAP + 1), decontamination.SHORT_MASKS, 0)):
+        for n in sizes:
+            most = n - math.ceil(decontamination.SIMILARITY * n - 1e-9)
+            spoilt = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(inner, n - inner), most)])
+            found = np.zeros(len(spoilt), bool)
+            for mask in masks:
+                bits = sum(1 << k for k, c in enumerate(mask) if c == "1")
+                for at in range(n - len(mask) + 1):
+                    found |= spoilt & (bits << at) == 0
+            assert found.all(), n
+
+
+def test_matches_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(9)
+    sizes = [*range(5, 31), 45, 60]
+    items = [rng.integers(1 << 62, size=n).astype(np.uint64) for n in sizes]
+    items += [items[10].copy(), np.append(items[20][:15], items[3])]
+    docs = [np.empty(0, np.uint64)]
+    for _ in range(150):
+        own = items[int(rng.integers(len(items)))].copy()
+        for k in rng.choice(len(own), size=int(rng.integers(0, len(own) // 3 + 1)), replace=False):
+            own[k] = rng.integers(1 << 62)
+        pad = [rng.integers(1 << 62, size=int(rng.integers(0, 9))).astype(np.uint64) for _ in range(2)]
+        docs.append(np.concatenate([pad[0], own[int(rng.integers(0, 3)) :], pad[1], own if rng.random() < 0.2 else own[:0]]))
+    edges = lambda x: np.append(0, np.cumsum([len(w) for w in x]))
+    expected = {}
+    for r, text in enumerate(docs):
+        for i, own in enumerate(items):
+            for shift in range(-len(own), len(text)):
+                lo, hi = max(0, -shift), min(len(own), len(text) - shift)
+                if len(own) < decontamination.LEAST_WORDS or hi <= lo or not (same := text[lo + shift : hi + shift] == own[lo:hi]).any():
+                    continue
+                if len(own) <= 13:
+                    begin, size, agree = (0, hi - lo, int(same.sum())) if hi - lo == len(own) and same.mean() >= 0.8 else (0, 0, 0)
+                else:
+                    begin, size, agree = stretch(same.tolist(), 0.8)
+                if size >= min(13, len(own)):
+                    score = (agree, size, -(lo + shift + begin))
+                    expected[r, i] = max(expected.get((r, i), score), score)
+    index = decontamination.Index(np.concatenate(items), edges(items), (decontamination.MASKS, decontamination.SHORT_MASKS), 13, decontamination.LEAST_WORDS)
+    for hits, cells in ((1 << 18, 1 << 22), (1, 1), (7, 100)):
+        monkeypatch.setattr(decontamination, "HITS", hits)
+        monkeypatch.setattr(decontamination, "CELLS", cells)
+        found = decontamination.matches(index, np.concatenate(docs), edges(docs), 13, 0.8)
+        assert {(r, i): (agree, size, -at) for r, i, size, agree, at in found} == expected and len(expected) > 60
+        once = decontamination.matches(index, np.concatenate(docs), edges(docs), 13, 0.8, once=True)
+        assert {r for r, *_ in once} == {r for r, _ in expected}
+
+
+def test_short_items(spark):
+    """Items of 13 words or fewer are found with substitutions at their ends, and not if they are shorter than asked for."""
+    bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, "just five words are here"), (3, "a b c d e f g h i j k l m")], "item_id long, text string")
+    rows = [(1, "x ZERO two three four five six seven x"), (2, "one two three nil five six nil"), (3, "just five words are here"), (4, "z b c d e f g h i j k l z"), (5, "one two three four five six"), (6, "one two three x five six seven")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = lambda **how: sorted((r.doc_id, r.item_id, r.overlap, r.n_same) for r in decontamination.contaminated(df, bench, **how).collect())
+    assert pairs() == [(1, 1, 7, 6), (4, 3, 13, 11), (6, 1, 7, 6)]
+    assert pairs(least_words=5) == [(1, 1, 7, 6), (3, 2, 5, 5), (4, 3, 13, 11), (6, 1, 7, 6)]
+    assert sorted(r.doc_id for r in decontamination.clean_documents(df, bench).collect()) == [2, 3, 5]
+
+
 def test_decontamination(spark, docs, none):
     rng = np.random.default_rng(6)
     item = [f"w{k}" for k in rng.integers(1 << 30, size=40)]
