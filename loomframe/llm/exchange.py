@@ -23,6 +23,10 @@ BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 BLOBS_DDL = "bucket int, blob binary"
 #: Rows that a map task gathers before it emits them.
 FLUSH_ROWS = 1 << 19
+#: Bytes of input files for each bucket, and so many buckets at most, if the session has no more shuffle partitions.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 1 << 17
+#: Spark's size of a table of which it knows none is as large as this or larger.
+_UNKNOWN = 1 << 60
 
 
 def pack(columns: Sequence[np.ndarray]) -> bytes:
@@ -109,7 +113,21 @@ def received_kinds(batches: Iterable[pa.RecordBatch]) -> tuple[dict[int, list[np
 
 
 def buckets(df: DataFrame) -> int:
-    return max(1, min(shuffle_partitions(df.sparkSession), 1 << 24))
+    """As many buckets as shuffle partitions, or more if the tables that ``df`` reads are large: a bucket must fit in one Python
+    worker, whatever the session's setting."""
+    return max(1, shuffle_partitions(df.sparkSession), min(-(-_input_bytes(df) // BUCKET_BYTES), MOST_BUCKETS))
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` reads, as far as Spark knows them: rows that were made in the session count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return sum(s for s in sizes if s < _UNKNOWN)
+
+
+def flush_rows(n: int) -> int:
+    """Rows that a map task gathers for ``n`` buckets: some dozens a blob at least, so that headers don't outweigh them."""
+    return max(FLUSH_ROWS, 32 * n)
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:

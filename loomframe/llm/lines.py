@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from . import docwork
 from .common import cut
-from .exchange import BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, deal, received, runs
+from .exchange import BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, deal, flush_rows, received, runs
 from .textops import covered, kept_spans, mix, pieces, ragged, span_hashes, text_bytes, window_hashes
 
 WINDOW = 3
@@ -49,7 +49,7 @@ def _windows(window: int, n: int):
         return [blob_rows(np.where(later, bucket_of(mix(columns[2].astype(np.uint64)), n), bucket_of(columns[0], n)), [later, *columns])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gather(earliest)
+        gather = Gather(earliest, flush_rows(n))
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, hot_join, no_reserved, scratch
-from .exchange import BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, deal, received, runs
+from .exchange import BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, deal, flush_rows, received, runs
 from .graph import components
 from .textops import U64, mix, pieces, ragged, span_hashes, text_bytes, window_hashes, word_spans
 
@@ -152,7 +152,7 @@ def _banded(bands: int, rows: int, n: int):
         return [blob_rows(bucket, [kind, np.append(key, b.astype(U64)), np.append(node, a)])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gather(combined)
+        gather = Gather(combined, flush_rows(n))
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             sig = np.frombuffer(data.tobytes(), np.uint16).reshape(batch.num_rows, -1)[:, : bands * rows].astype(U64)

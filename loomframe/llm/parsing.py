@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import docwork
 from .common import cut
-from .exchange import BLOBS, BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, by_bucket, deal, pack, received, received_kinds, runs
+from .exchange import BLOBS, BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, by_bucket, deal, flush_rows, pack, received, received_kinds, runs
 from .textops import PLACE_BITS, ROLL, covered, mix, pieces, ragged, span_hashes, text_bytes, window_owner
 
 MATCH = 100
@@ -106,7 +106,7 @@ def _parse(match: int, trigger: int, n: int):
         return [blob_rows(bucket, [kind, *(c[rows] for c in (key, phrase, check, doc, sub, first, count))])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gather(combined)
+        gather = Gather(combined, flush_rows(n))
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -152,7 +152,7 @@ def _entries(match: int, n: int):
         return [blob_rows(np.where(later, bucket_of(mix(columns[2].astype(np.uint64)), n), bucket_of(columns[0], n)), [later, *columns])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gather(earliest)
+        gather = Gather(earliest, flush_rows(n))
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))

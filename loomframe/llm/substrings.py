@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import docwork
 from .common import cut, scratch
-from .exchange import BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, deal, received, runs
+from .exchange import BLOBS_DDL, Gather, blob_rows, bucket_of, buckets, deal, flush_rows, received, runs
 from .textops import covered, kept_spans, mix, pieces, ragged, span_hashes, text_bytes, window_hashes, word_spans
 
 WINDOW = 35
@@ -74,7 +74,7 @@ def _anchors(window: int, period: int, cover: tuple[int, ...], n: int):
     on[list(cover)] = True
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gather(lambda c: [blob_rows(*_combined(c, 1, n))])
+        gather = Gather(lambda c: [blob_rows(*_combined(c, 1, n))], flush_rows(n))
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -95,7 +95,7 @@ def _anchors(window: int, period: int, cover: tuple[int, ...], n: int):
 
 def _windows(window: int, period: int, n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gather(lambda c: [blob_rows(*_combined(c, 2, n))])
+        gather = Gather(lambda c: [blob_rows(*_combined(c, 2, n))], flush_rows(n))
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             docs, subs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))

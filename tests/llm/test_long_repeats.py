@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomframe.llm import lines, parsing, substrings
+from loomframe.llm import exchange, lines, parsing, substrings
 from loomframe.llm.textops import window_owner
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,3 +226,24 @@ def test_lines(docs, rows, odd, none):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in found} == by_lines([(r[0], r[1]) for r in rows], 3)
     assert lines.remove_repeated_lines(odd).count() == odd.count()
     assert lines.remove_repeated_lines(none).count() == 0
+
+
+def test_buckets_follow_the_input(spark, docs, rows, tmp_path, monkeypatch):
+    """More buckets than shuffle partitions, if the input's files are large, and the same results; blobs of rows enough."""
+    at = str(tmp_path / "docs")
+    docs.write.parquet(at)
+    stored, least = spark.read.parquet(at), exchange.shuffle_partitions(spark)
+    assert exchange.buckets(stored) == exchange.buckets(spark.createDataFrame(rows[:3], docs.schema)) == least
+    size = exchange._input_bytes(stored)
+    assert size > 0 and exchange._input_bytes(stored.crossJoin(stored.select("doc_id").toDF("other"))) == 2 * size
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", -(-size // 40))
+    assert exchange.buckets(stored) == exchange.buckets(stored.filter("doc_id > 3").select("text")) == 40 > least
+    assert exchange.flush_rows(40) == exchange.FLUSH_ROWS and exchange.flush_rows(1 << 17) == 1 << 22
+    monkeypatch.setattr(exchange, "MOST_BUCKETS", 25)
+    assert exchange.buckets(stored) == max(least, 25)
+    found = parsing.remove_repeated_bytes(stored).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in found} == by_bytes([(r[0], r[1]) for r in rows], 100)
+    found = substrings.remove_repeated_windows(stored).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.text) for r in found) == sorted(by_words([(r[0], r[1]) for r in rows], 35))
+    found = lines.remove_repeated_lines(stored).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in found} == by_lines([(r[0], r[1]) for r in rows], 3)
