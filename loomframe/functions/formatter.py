@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
@@ -57,11 +57,13 @@ class ObjectFormatter:
     def copy(self) -> dict[str, Callable[[Column], Column]]:
         return dict(self._casts)
 
-    def cast_of(self, kind: T.DataType) -> Callable[[Column], Column] | None:
-        return self._casts.get(self._NAMES.get(type(kind), "")) or self._casts.get(name_of(kind))
+    def cast_of(self, kind: T.DataType, casts: Mapping[str, Callable[[Column], Column]] | None = None) -> Callable[[Column], Column] | None:
+        held = self._casts if casts is None else casts
+        return held.get(self._NAMES.get(type(kind), "")) or held.get(name_of(kind))
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        casts = {f.name: cast(df[f"`{f.name}`"]) for f in df.schema if (cast := self.cast_of(f.dataType))}
+    def apply(self, df: DataFrame, casts: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+        """``casts``: those of an earlier copy() instead of the present ones."""
+        casts = {f.name: cast(df[f"`{f.name}`"]) for f in df.schema if (cast := self.cast_of(f.dataType, casts))}
         return df.withColumns(casts) if casts else df
 
 

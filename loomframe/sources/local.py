@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formatter import object_formatter
 from ..plans.ordinals import RID
 from ..types import cast_to, dtype_name, spark_type
 
@@ -99,8 +102,8 @@ def as_arrow(values: np.ndarray) -> pa.Array:
     return pa.array(values)
 
 
-def local_frame(spark: SparkSession, data: Mapping[str, object], dtypes: Mapping[str, object] | None = None, check_rows: bool = True) -> DataFrame:
-    """A DataFrame with the hidden row order. ValueError if columns differ in length."""
+def local_table(data: Mapping[str, object], check_rows: bool = True) -> pa.Table:
+    """An Arrow table with the hidden row order. ValueError if columns differ in length."""
     arrays = {name: as_array(values) for name, values in data.items()}
     if len({len(a) for a in arrays.values()}) > 1:
         raise ValueError("Columns must have the same length." if check_rows else "Columns of different lengths can't be held, even unchecked.")
@@ -109,8 +112,12 @@ def local_frame(spark: SparkSession, data: Mapping[str, object], dtypes: Mapping
     for name in columns:
         if name == RID:
             raise ValueError(f"`{RID}` is a reserved name.")
-    df = spark.createDataFrame(pa.table(columns | {RID: pa.array(np.arange(rows, dtype=np.int64))}))
-    return cast_columns(df, dtypes or {})
+    return pa.table(columns | {RID: pa.array(np.arange(rows, dtype=np.int64))})
+
+
+def local_frame(spark: SparkSession, data: Mapping[str, object], dtypes: Mapping[str, object] | None = None, check_rows: bool = True) -> DataFrame:
+    """A DataFrame with the hidden row order. ValueError if columns differ in length."""
+    return cast_columns(spark.createDataFrame(local_table(data, check_rows)), dtypes or {})
 
 
 def cast_columns(df: DataFrame, dtypes: Mapping[str, object]) -> DataFrame:
@@ -121,16 +128,61 @@ def cast_columns(df: DataFrame, dtypes: Mapping[str, object]) -> DataFrame:
     return df.withColumns({n: cast_to(F.col(f"`{n}`"), df.schema[n].dataType, d) for n, d in dtypes.items()}) if dtypes else df
 
 
-def records_frame(spark: SparkSession, records: Iterable[Sequence[object]], columns: Sequence[str], dtypes: Mapping[str, object] | Sequence[object] | None = None) -> DataFrame:
-    """Rows as a frame; ValueError if there are none, or if their lengths differ from the names'."""
+def records_table(records: Iterable[Sequence[object]], columns: Sequence[str]) -> pa.Table:
+    """Rows as an Arrow table; ValueError if there are none, or if their lengths differ from the names'."""
     rows = [tuple(r) for r in records]
     if not rows:
         raise ValueError("No records were given.")
     if any(len(r) != len(columns) for r in rows):
         raise ValueError("Each record must have a value for each column.")
+    return local_table({c: _objects(list(v)) for c, v in zip(columns, zip(*rows, strict=True), strict=True)})
+
+
+def records_frame(spark: SparkSession, records: Iterable[Sequence[object]], columns: Sequence[str], dtypes: Mapping[str, object] | Sequence[object] | None = None) -> DataFrame:
+    """Rows as a frame; ValueError if there are none, or if their lengths differ from the names'."""
+    found = records_table(records, columns)
     if dtypes is not None and not isinstance(dtypes, Mapping):
         dtypes = dict(zip(columns, dtypes, strict=True))
-    return local_frame(spark, {c: _objects(list(v)) for c, v in zip(columns, zip(*rows, strict=True), strict=True)}, dtypes)
+    return cast_columns(spark.createDataFrame(found), dtypes or {})
+
+
+@dataclass(frozen=True, eq=False)
+class Pieces:
+    """Local rows in pieces that become a DataFrame together, when one is asked for; so a union of many costs no plan, and no job, each.
+
+    ``tables`` is an Arrow table or a pair of such, nested; all have the same names. Columns without a dtype have the same type in all.
+    """
+
+    spark: SparkSession
+    tables: Any
+    kinds: dict[str, pa.DataType | None]
+    dtypes: Mapping[str, object]
+    casts: Mapping[str, Callable[[Column], Column]]
+
+    @classmethod
+    def of(cls, spark: SparkSession, table: pa.Table, dtypes: Mapping[str, object]) -> Pieces:
+        return cls(spark, table, {f.name: None if f.name in dtypes else f.type for f in table.schema}, dtypes, object_formatter.copy())
+
+    def followed_by(self, other: Pieces) -> Pieces | None:
+        """Both, this one's rows first; None if their types, sessions or formatters differ."""
+        same = self.spark is other.spark and self.kinds == other.kinds and self.dtypes == other.dtypes and self.casts == other.casts
+        return Pieces(self.spark, (self.tables, other.tables), self.kinds, self.dtypes, self.casts) if same else None
+
+    def frame(self) -> DataFrame:
+        """One local relation for each set of Arrow types that pieces have; the hidden order runs through all pieces."""
+        by_types: dict[tuple[pa.DataType, ...], list[pa.Table]] = {}
+        names, at, left = list(self.kinds), 0, [self.tables]
+        while left:
+            piece = left.pop()
+            if isinstance(piece, tuple):
+                left += reversed(piece)
+                continue
+            piece = piece.select(names)
+            piece = piece.set_column(names.index(RID), RID, pa.array(np.arange(at, at + piece.num_rows, dtype=np.int64)))
+            at += piece.num_rows
+            by_types.setdefault(tuple(piece.schema.types), []).append(piece)
+        frames = [cast_columns(self.spark.createDataFrame(pa.concat_tables(t).combine_chunks()), self.dtypes) for t in by_types.values()]
+        return object_formatter.apply(reduce(lambda a, b: a.union(b), frames), self.casts)
 
 
 def empty_frame(spark: SparkSession, columns: Sequence[str], dtypes: Sequence[object]) -> DataFrame:

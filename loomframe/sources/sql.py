@@ -7,7 +7,7 @@ from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .local import batches, empty_frame, records_frame
+from .local import Pieces, batches, empty_frame, records_frame, records_table
 
 
 class Cursor(Protocol):
@@ -48,14 +48,14 @@ def read_cursor(spark: SparkSession, query: str, cur: Cursor) -> DataFrame:
     return _rows_frame(spark, cur.fetchall(), columns, kinds)
 
 
-def read_cursor_chunks(spark: SparkSession, query: str, cur: Cursor, chunksize: int = 100) -> Iterator[DataFrame]:
-    """Frames of up to ``chunksize`` rows, fetched as they are asked for; one empty frame if there are no rows."""
+def read_cursor_chunks(spark: SparkSession, query: str, cur: Cursor, chunksize: int = 100) -> Iterator[Pieces | DataFrame]:
+    """Local rows, up to ``chunksize`` each, fetched as they are asked for; one empty frame if there are no rows."""
     cur.execute(query)
     columns, kinds = _described(cur)
     empty = True
     while rows := cur.fetchmany(chunksize):
         empty = False
-        yield _rows_frame(spark, rows, columns, kinds)
+        yield Pieces.of(spark, records_table(rows, columns), {c: k for c, k in zip(columns, kinds, strict=True) if k is not None})
     if empty:
         yield _rows_frame(spark, [], columns, kinds)
 

@@ -83,6 +83,52 @@ def test_cursor(spark):
     assert [c.rows for c in Frame.read_sql_chunks("select", Cursor([]))] == [0]
 
 
+class Typed(Cursor):
+    """Column b's type isn't told; a is told to be float."""
+
+    description = (("a", float, None), ("b", None, None))
+
+
+def joined(parts):
+    out = next(parts)
+    for part in parts:
+        out = out.union(part)
+    return out
+
+
+@pytest.mark.parametrize("chunksize", [300, 3])
+def test_union_of_many_chunks_is_one_plan(spark, chunksize):
+    """A loop over chunks runs no job, and neither partitions nor the plan's depth grow with the number of chunks."""
+    rows = [(f"f{i}", i, i / 4) for i in range(7001)]
+    sc = spark.sparkContext
+    sc.setJobGroup("chunks", "union of chunks")
+    try:
+        out = joined(Frame.read_sql_chunks("select", Cursor(rows), chunksize=chunksize))
+        assert not sc.statusTracker().getJobIdsForGroup("chunks")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    assert list(out.to_records()) == rows and list(out[6998:].to_records()) == rows[6998:]
+    assert out.to_spark().rdd.getNumPartitions() <= sc.defaultParallelism
+    assert "Union" not in out._df._jdf.queryExecution().toString()
+
+
+def test_union_of_chunks_whose_values_differ_in_type(spark):
+    """Told types hold whatever a chunk's values are, in the rows' order; where none is told, other types are refused."""
+    rows = [(None, "x"), (1, "y"), (2.5, "z"), (None, None), (4, "u"), (None, "v")]
+    parts = list(Frame.read_sql_chunks("select", Typed([r for r in rows if r[1]]), chunksize=1))
+    first, second = parts[0].union(parts[1]), parts[0].union(parts[2])
+    assert list(first.to_records()) == [(None, "x"), (1.0, "y")] and list(second.to_records()) == [(None, "x"), (2.5, "z")]
+    both = second.union(first.union(parts[3]))
+    assert both.dtypes == {"a": "float64", "b": "str"}
+    assert list(both.to_records()) == [(None, "x"), (2.5, "z"), (None, "x"), (1.0, "y"), (4.0, "u")]
+    assert list(joined(Frame.read_sql_chunks("select", Typed(rows), chunksize=1)).to_records()) == rows
+    first.union_inplace(parts[4])
+    assert first.rows == 3 and parts[0].rows == 1
+    with pytest.raises(TypeError):
+        joined(Frame.read_sql_chunks("select", Typed([(1.0, "x"), (2.0, 7)]), chunksize=1))
+
+
 def test_views(spark):
     spark.range(7).createOrReplaceTempView("seven")
     assert Frame.read_sql("select * from seven where id > 2").rows == 4
